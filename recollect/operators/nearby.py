@@ -129,7 +129,8 @@ def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS,
                     cells.append(c)
                     rings.append(edges.ravel())
                     poles.append(pole > 0)
-            yield pd.DataFrame({"id": ids, "cell": np.array(cells, np.int64), "edges": rings, "pole": np.array(poles, bool)})
+            if ids:
+                yield pd.DataFrame({"id": ids, "cell": np.array(cells, np.int64), "edges": rings, "pole": np.array(poles, bool)})
 
     def sweep(_, pts: pd.DataFrame, rings: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or rings.empty:
