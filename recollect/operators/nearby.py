@@ -134,7 +134,7 @@ def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS,
 
     def sweep(_, pts: pd.DataFrame, rings: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or rings.empty:
-            return pd.DataFrame({"id_a": [], "id_b": []})
+            return pd.DataFrame({"id_a": [], "id_b": []}, dtype=object)
         each = [np.asarray(e, float).reshape(-1, 4) for e in rings["edges"]]
         owner = np.repeat(np.arange(len(each)), [len(e) for e in each])
         p, o = inside(pts["lat"].to_numpy(), pts["lon"].to_numpy(), np.concatenate(each), owner, rings["pole"].to_numpy())

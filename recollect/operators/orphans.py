@@ -33,7 +33,7 @@ def _range_orphans(pdf: pd.DataFrame) -> pd.DataFrame:
         left = Bitmap(part["code"].to_numpy()).and_not(there).values()
         if len(left):
             out.append(pd.DataFrame({"src": src, "ym": None if pd.isna(ym) else ym, "key": names[left]}))
-    return pd.concat(out) if out else pd.DataFrame({"src": [], "ym": [], "key": []})
+    return pd.concat(out) if out else pd.DataFrame({"src": [], "ym": [], "key": key[:0]}, dtype=object)
 
 
 
