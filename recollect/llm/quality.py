@@ -195,6 +195,11 @@ FUNCTIONS = (
     ("noise", ("junk", None)),
     ("width", ("list", "prose", None)),
 )
+#: What is learnt: junk comes in two kinds with little in common, signs that are no text and words that say nothing.
+HIDDEN = ("prose", "list", "table", "noise", "babble")
+TYPE_OF = (0, 1, 2, 3, 3)
+#: The kinds that a function's answer junk speaks for.
+JUNK_OF = {"repeats": ("babble",), "letters": ("babble",), "common": ("babble", "noise"), "signs": ("noise",), "noise": ("noise",), "lines": ("noise",)}
 PATTERNS = int(np.prod([len(a) for _, a in FUNCTIONS]))
 
 
@@ -236,33 +241,36 @@ def answers_of(code: int) -> list[int]:
     return out[::-1]
 
 
-def learn(counts: dict[int, int], rounds: int = 60, weight: float = 20.0) -> tuple[dict[int, np.ndarray], list[np.ndarray], np.ndarray]:
-    """Posterior types of each pattern, the confusion table of each function (type x answer), the types' shares.
+def learn(counts: dict[int, int], rounds: int = 60, weight: float = 100.0) -> tuple[dict[int, np.ndarray], list[np.ndarray], np.ndarray]:
+    """Posterior types of each pattern, the confusion table of each function (hidden kind x answer), the kinds' shares.
 
-    weight: documents that the first belief counts for: a function names the right type more often than each other one."""
+    weight: documents that the first belief counts for: a function names the right kind more often than each other one."""
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
     if not len(n):
-        return {}, [], np.full(len(TYPES), 1 / len(TYPES))
+        return {}, [], np.full(len(HIDDEN), 1 / len(HIDDEN))
     got = np.array([answers_of(c) for c in codes])
     belief = []
-    for _, known in FUNCTIONS:
-        t = np.array([[3.0 if a is None else 6.0 if a == y else 1.0 for a in known] for y in TYPES])
+    for name, known in FUNCTIONS:
+        right = 40.0 if name == "lines" else 12.0  # it has looked at every line
+        speaks = [(None,) if a is None else JUNK_OF[name] if a == "junk" else (a,) for a in known]
+        t = np.array([[3.0 if a is None else right if y in for_ else 1.0 for a, for_ in zip(known, speaks)] for y in HIDDEN])
         belief.append(t / t.sum(1, keepdims=True))
-    tables, shares = belief, np.array([0.55, 0.15, 0.15, 0.15])
+    tables, shares = belief, np.array([0.5, 0.125, 0.125, 0.125, 0.125])
     for _ in range(rounds):
         logs = np.log(shares) + sum(np.log(t[:, got[:, f]].T) for f, t in enumerate(tables))
         logs -= logs.max(1, keepdims=True)
         post = np.exp(logs)
         post /= post.sum(1, keepdims=True)
         mass = post * n[:, None]
-        shares = (mass.sum(0) + weight) / (mass.sum() + weight * len(TYPES))
+        shares = (mass.sum(0) + 10.0) / (mass.sum() + 10.0 * len(HIDDEN))
         tables = []
         for f, (_, known) in enumerate(FUNCTIONS):
             t = np.stack([mass[got[:, f] == k].sum(0) for k in range(len(known))], axis=1)
             t = t + weight * belief[f]
             tables.append(t / t.sum(1, keepdims=True))
-    return dict(zip(codes, post)), tables, shares
+    merged = np.stack([post[:, [k for k, t in enumerate(TYPE_OF) if t == y]].sum(1) for y in range(len(TYPES))], axis=1)
+    return dict(zip(codes, merged)), tables, shares
 
 
 def common_words(table: DataFrame) -> Common:

@@ -259,7 +259,7 @@ COMMON = quality.Common({"the", "is", "and", "to", "a", "of", "in", "we", "that"
 PROSE = "We went to the harbour in the morning, and it was cold. The boat that we had seen on the way was gone. "
 TEXTS = {
     "prose": [PROSE * 1, PROSE.lower().replace(".", "").replace(",", ""), PROSE.upper(), "- We went to the harbour.\n- It was on the way to the boat.\n- That is the end of it."],
-    "list": ["- milk\n- bread\n- a lamp\n- soap\n- tea", "milk; bread; lamp; soap; tea; keys; pens", "[ ] to ask Ann about the lamp\n[x] the key for the shed\n[ ] soap", "lamp: 3\nsoap: 4\ntea: 5\npens: 6"],
+    "list": ["- milk\n- bread\n- a lamp\n- soap\n- tea", "milk; bread; lamp; soap; tea; keys; pens", "[ ] to ask Ann about the lamp\n[x] the key for the shed\n[ ] soap\n[ ] tea\n[ ] a map", "lamp: 3\nsoap: 4\ntea: 5\npens: 6"],
     "table": ["a,b,c\n1,2,3\n4,5,6\n7,8,9", "0.1 0.2 0.3\n0.4 0.5 0.6\n0.7 0.8 0.9", "| x | 1 | 2 |\n|---|---|---|\n| y | 3 | 4 |\n| z | 5 | 6 |", "name\tx\ty\nlamp\t1\t2\n\t3\t4\nsoap\t5\t6"],
     "junk": ["ok ok ok ok " * 30, "====\n----\n####\n....", "12:01:02.1 D/Scan(1): rc=5 dt=3ms 0xdeadbeef\n12:01:03.1 D/Scan(1): rc=6 dt=4ms 0xdeadbee0\n" * 3, "xkqzv brtkl pqwsd zzxcv mnbvc lkjhg qwrtp " * 4],
 }
