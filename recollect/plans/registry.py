@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.plans import problems
+from recollect.plans import problems, retrieval
 
-MODULES = [problems]
+MODULES = [problems, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p3_periods(spark, folder)
+    return retrieval.flagship(spark, folder)
