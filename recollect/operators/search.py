@@ -144,13 +144,13 @@ def overlap_fallback(docs: DataFrame, query: str, pool: int = POOL) -> DataFrame
     return hits.unionByName(rest.crossJoin(F.broadcast(none)).where("hits = 0").drop("hits"))
 
 
-def block_search(docs: DataFrame, queries: DataFrame, dim: int, k: int, query_rows: int = 2048, doc_parts: int = 16) -> DataFrame:
+def block_search(docs: DataFrame, queries: DataFrame, dim: int, k: int, query_rows: int = 2048, doc_rows: int = 20_000) -> DataFrame:
     """query, id, score, place: of every query (id, v) its k most alike docs (id, v), itself left out.
 
     Query blocks meet document parts as matrix products, each task sends k rows a query, and these are merged: nothing
     is broadcast, and neither side has to fit in memory."""
     n = queries.count()
-    blocks = max(1, -(-n // query_rows))
+    blocks, doc_parts = max(1, -(-n // query_rows)), max(4, -(-docs.count() // doc_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(doc_parts))
     q = queries.select(block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(doc_parts - 1))).alias("p"), "id", doubles(F.col("v")).alias("v"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.plans import problems, retrieval
+from recollect.plans import problems, retrieval, video
 
-MODULES = [problems, retrieval]
+MODULES = [problems, retrieval, video]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
