@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.plans import problems, retrieval, video
+from recollect.plans import analytics, problems, retrieval, video
 
-MODULES = [problems, retrieval, video]
+MODULES = [problems, retrieval, video, analytics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
