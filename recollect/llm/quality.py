@@ -13,9 +13,11 @@ empty word is ignored. Other columns aren't read. Texts are read whole; no langu
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,19 +28,16 @@ from pyspark.sql import functions as F
 TYPES = ("prose", "list", "table", "junk")
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
-LETTER = regex.compile(r"[\p{L}\p{M}]")
-DIGIT = regex.compile(r"\p{N}")
-STOP_AT_END = regex.compile(r"[.!?…。！？؟۔।][\"')\]»”’」』）]*\s*$")
+STOPS, CLOSERS = ".!?…。！？؟۔।", "\"')]»”’」』）"
 MARKER = regex.compile(r"^\s*(?:[-*•·◦‣▪–—+>]\s+|\(?\d{1,3}[.):]\s+|#\d+\s|\(?[a-zA-Z][.)]\s+|\[[ xX]?\]\s*|[☐☑☒✓✔✗□■]\s*)")
 NUMBER = regex.compile(r"^[-+]?[\d.,:%]+$|^$")
 LOG = regex.compile(r"\b\d{1,2}:\d{2}:\d{2}\b|0x[0-9a-fA-F]{4,}|\b[A-Za-z_]+=\S+|\b[VDIWEF]/\w+")
-CODE = regex.compile(r"[{}<>\\=_|~^`#@\[\]]|::|\"\s*:")
 HARD = regex.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|^[bcdfghjklmnpqrstvwxz]{3,}$", regex.I)
-LATIN = regex.compile(r"^[a-zA-Z]+$")
 ITEM = regex.compile(r"\s*[;,>|/、，；]\s+|[、，；]|\s+[-•·]\s+|\n")
 SENTENCE = regex.compile(r"[.!?…。！？؟۔]+[\"')\]»”’」』）]*(?=\s|\p{Han}|$)")
 AMOUNT = regex.compile(r"[:：]\s*\d+\s*[.,;]?\s*$")
 SPEAKER = regex.compile(r"^\s*[\p{L}][\p{L}\p{M} ]{0,24}:\s+(?=\S)")
+LETTERS, DIGITS, SPACES, SIGNS, CODES, SEPARATORS, QUOTES = (1 << k for k in range(7))
 DELIMITERS = (",", ";", "\t", "|", "  ")
 COLUMNS = (
     "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "n_lines",
@@ -46,12 +45,52 @@ COLUMNS = (
 )
 
 
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The kinds of every code point, as bits."""
+    table = np.zeros(0x110000, np.uint8)
+    for k in range(0x110000):
+        c = chr(k)
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
+            table[k] |= LETTERS
+        elif kind == "N":
+            table[k] |= DIGITS
+        if c.isspace():
+            table[k] |= SPACES
+    blocks = ((0x4E00, 0xA000), (0x3400, 0x4DC0), (0x3005, 0x3008), (0x3041, 0x30FF), (0x0E01, 0x0E60), (0xF900, 0xFB00), (0x20000, 0x31350))
+    for a, b in blocks:  # scripts without spaces
+        table[a:b] |= np.where(table[a:b] & LETTERS, SIGNS, 0).astype(np.uint8)
+    for bit, signs in ((CODES, "{}<>\\=_|~^`#@[]"), (SEPARATORS, ";,>|/、，；•·-"), (QUOTES, "'’")):
+        for c in signs:
+            table[ord(c)] |= bit
+    return table
+
+
 class Common:
     def __init__(self, words: set[str]):
         self.words = {w for w in words if not UNSPACED.search(w)}
         self.signs = words - self.words
 
 
+_hard: dict[str, bool] = {}
+
+
+def is_hard(word: str) -> bool:
+    """A run of Latin letters that nobody could say."""
+    known = _hard.get(word)
+    if known is None:
+        if len(_hard) > 200_000:
+            _hard.clear()
+        known = _hard[word] = len(word) > 2 and word.isascii() and bool(HARD.search(word))
+    return known
+
+
+def ended(line: str) -> bool:
+    """Whether a sentence ends with the line."""
+    return line.rstrip().rstrip(CLOSERS)[-1:] in STOPS if line.strip() else False
+
+
 def fields(line: str, d: str) -> list[str]:
     if d == "  ":
         return [x for x in regex.split(r"\s{2,}|\t", line.strip()) if x]
@@ -59,36 +98,38 @@ def fields(line: str, d: str) -> list[str]:
     return [x.strip() for x in line.strip("|" if d == "|" else "").split(d)]
 
 
-def table_rows(lines: list[str]) -> list[bool]:
-    """Which lines are rows of a table: neighbours with the same number of fields, short ones or many of them numbers."""
+def table_rows(lines: list[str], digits: np.ndarray, words: np.ndarray, text: str) -> list[bool]:
+    """Which lines are rows of a table: neighbours with the same number of fields, short ones or many of them numbers.
+
+    digits, words: how many each line has."""
     best = [False] * len(lines)
     for d in DELIMITERS:
+        if d not in text:
+            continue
+        loose, least = (1, 2) if d == "  " else (0, 3)
         cut = [fields(x, d) if d in x else [] for x in lines]
-        loose = 1 if d == "  " else 0
-        least = 2 if d == "  " else 3
-        short = [sum(len(WORD.findall(v)) for v in c) <= 2.5 * len(c) for c in cut]
-        plain = [sum(bool(NUMBER.match(v)) for v in c) >= 0.4 * len(c) for c in cut]
-        if d == "  " and sum(map(len, cut)) > 12 * len(lines):  # words set wide, not columns
+        size = [len(c) for c in cut]
+        if d == "  " and sum(size) > 12 * len(lines):  # words set wide, not columns
             continue
-        ok = [len(c) >= least and (s or p) for c, s, p in zip(cut, short, plain)]
+        ok = [n >= least and (w <= 2.5 * n or sum(bool(NUMBER.match(v)) for v in c) >= 0.4 * n) for n, w, c in zip(size, words.tolist(), cut)]
         for k in range(len(lines)):
-            if ok[k] and any(
-                0 <= j < len(lines) and ok[j] and max(len(cut[j]), len(cut[k])) >= 3 and abs(len(cut[j]) - len(cut[k])) <= loose
-                for j in (k - 1, k + 1)
-            ):
+            if ok[k] and any(0 <= j < len(lines) and ok[j] and max(size[j], size[k]) >= 3 and abs(size[j] - size[k]) <= loose for j in (k - 1, k + 1)):
                 best[k] = True
     for k, x in enumerate(lines):  # rows of bare numbers
-        v = x.split()
-        if len(v) >= 2 and sum(bool(NUMBER.match(t)) for t in v) >= 0.8 * len(v):
-            best[k] = True
+        if digits[k] and not best[k] and 8 * digits[k] >= len(x):
+            v = x.split()
+            if len(v) >= 2 and sum(bool(NUMBER.match(t)) for t in v) >= 0.8 * len(v):
+                best[k] = True
     return best
 
 
-def fresh_share(words: list[str], unspaced: list[str]) -> float:
+def fresh_share(words: list[str], unspaced: str) -> float:
     """The share of runs of six words (twelve unspaced signs) that differ; 1 for texts of fewer than twelve runs."""
     units, n = (unspaced, 12) if len(unspaced) > sum(map(len, words)) / 2 else (words, 6)
     runs = len(units) - n + 1
-    return len({tuple(units[k : k + n]) for k in range(runs)}) / runs if runs >= 12 else 1.0
+    if runs < 12:
+        return 1.0
+    return (len({units[k : k + n] for k in range(runs)}) if units is unspaced else len(set(zip(*(units[k:] for k in range(n)))))) / runs
 
 
 def wrapped_at_margin(lines: list[str]) -> bool:
@@ -103,23 +144,26 @@ def wrapped_at_margin(lines: list[str]) -> bool:
     return full >= 0.8 * (len(lines) - 1)
 
 
-def listed(line: str, n: float) -> bool:
+def word_count(text: str) -> float:
+    return len(WORD.findall(text)) + len(UNSPACED.findall(text)) / 2
+
+
+def listed(line: str) -> bool:
     """Five items or more within one line: most of up to four words, or all in small letters, and no sentences."""
     items = [x for x in ITEM.split(line) if x.strip()]
     if len(items) < 5 or len(SENTENCE.findall(line)) > 1:
         return False
-    brief = sum(len(WORD.findall(x)) + len(UNSPACED.findall(x)) / 2 <= 4 for x in items)
+    brief = sum(word_count(x) <= 4 for x in items)
     small = sum(x.strip()[:1].islower() or x.strip()[:1].isdigit() for x in items)
     return brief >= 0.7 * len(items) or small >= 0.9 * len(items)
 
 
 def spoken(item: str, n: float) -> bool:
     """A line of talk behind a dash: a whole sentence, and not in small letters."""
-    return n >= 5 and bool(STOP_AT_END.search(item)) and not item[:1].islower()
+    return n >= 5 and ended(item) and not item[:1].islower()
 
 
-def common_share(text: str, words: list[str], common: Common) -> float:
-    unspaced = UNSPACED.findall(text)
+def common_share(unspaced: str, words: list[str], common: Common) -> float:
     if 2 * len(unspaced) > sum(map(len, words)):
         # a sign is half a word or less, and fewer of the frequent ones are listed
         return min(1.0, 2 * sum(x in common.signs for x in unspaced) / max(1, len(unspaced)))
@@ -127,58 +171,69 @@ def common_share(text: str, words: list[str], common: Common) -> float:
 
 
 def statistics(text: str, common: Common) -> tuple:
-    words = [w.lower() for w in WORD.findall(text)]
-    solid = len("".join(text.split()))
+    kinds = classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    has = lambda bit: (kinds & bit) != 0
+    space = has(SPACES)
+    solid = len(text) - int(space.sum())
     if not solid:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    letters, digits = len(LETTER.findall(text)), len(DIGIT.findall(text))
-    lines = [x for x in text.splitlines() if x.strip()]
+    words = WORD.findall(text.lower())
+    letter, digit, sign = has(LETTERS), has(DIGITS), has(SIGNS)
+    unspaced = "".join(UNSPACED.findall(text)) if sign.any() else ""
+    # words begin where letters do, but not behind an apostrophe within a word
+    inner = np.zeros(len(text), bool)
+    inner[1:-1] = has(QUOTES)[1:-1] & letter[:-2] & letter[2:]
+    run = letter | inner
+    begins = run & ~np.concatenate([[False], run[:-1]])
+    all_lines = text.splitlines(keepends=True)
+    starts = np.cumsum([0, *map(len, all_lines[:-1])])
+    per = lambda mask: np.add.reduceat(mask, starts, dtype=np.int64)
+    full = np.array([bool(x.strip()) for x in all_lines])
+    lines = [x for x, f in zip(all_lines, full) if f]
+    n_words, n_signs, n_letters, n_digits, n_solid, n_code, n_cuts = (per(m)[full] for m in (begins, sign, letter, digit, ~space, has(CODES), has(SEPARATORS)))
     weight = [len(x.strip()) for x in lines]
     total = sum(weight)
-    ends = sum(bool(STOP_AT_END.search(x)) for x in lines) / len(lines)
-    rows = table_rows(lines)
-    share = Counter()
-    counts = [len(WORD.findall(x)) for x in lines]
-    unspaced = [len(UNSPACED.findall(x)) for x in lines]
-    lengths = [c + u / 2 for c, u in zip(counts, unspaced)]
+    stop = [ended(x) for x in lines]
+    rows = table_rows(lines, n_digits, n_words, text)
+    share = dict.fromkeys(TYPES, 0)
     wrapped = wrapped_at_margin(lines)
-    plain = len(lines) >= 4 and not wrapped and sum(not STOP_AT_END.search(x) for x in lines) > 0.8 * len(lines)
-    for k, (x, w, n) in enumerate(zip(lines, weight, lengths)):
-        bare = len(LETTER.findall(x))
+    plain = len(lines) >= 4 and not wrapped and stop.count(False) > 0.8 * len(lines)
+    for k, (x, w) in enumerate(zip(lines, weight)):
+        n, bare = n_words[k] + n_signs[k] / 2, n_letters[k]
         mark = MARKER.match(x)
         if rows[k]:
             kind = "table"
         elif mark and bare:
             kind = "prose" if spoken(x[mark.end() :].lstrip("\"'«“„"), n) else "list"
-        elif bare < 0.4 * len("".join(x.split())):
+        elif bare < 0.4 * n_solid[k]:
             kind = "junk"
-        elif len(LOG.findall(x)) >= 2 or len(CODE.findall(x)) > 0.06 * len(x):
+        elif n_code[k] > 0.06 * len(x) or n_digits[k] and len(LOG.findall(x)) >= 2:
             kind = "junk"
-        elif AMOUNT.search(x) or listed(x, n):
+        elif n_digits[k] and AMOUNT.search(x) or n_cuts[k] >= 4 and listed(x):
             kind = "list"
-        elif SPEAKER.match(x) and n > 4 and not x.strip()[:1].islower():
+        elif n > 4 and ":" in x and SPEAKER.match(x) and not x.strip()[:1].islower():
             kind = "prose"
-        elif n <= 5 and not STOP_AT_END.search(x) and len(lines) > 2 and not wrapped:
+        elif n <= 5 and not stop[k] and len(lines) > 2 and not wrapped:
             kind = "list"
         elif plain and n <= 14:  # one unpunctuated item a line
             kind = "list"
         else:
             kind = "prose"
         share[kind] += w
-    fresh = fresh_share(words, UNSPACED.findall(text))
-    raw = text.encode()
-    packed = len(zlib.compress(raw, 6)) / len(raw)
-    latin = [w for w in words if len(w) > 2 and LATIN.match(w)]
-    hard = sum(bool(HARD.search(w)) for w in latin) / max(1, len(words))
-    # items in one line: short, or behind a separator in small letters
-    items = [x for x in ITEM.split(text) if x.strip()]
-    sizes = [len(WORD.findall(x)) + len(UNSPACED.findall(x)) / 2 for x in items]
-    item = sum(1 for n in sizes if n <= 4) / len(sizes) if len(sizes) >= 5 else 0.0
-    symbols = solid - letters - digits
+    raw = text.encode("utf-8", "surrogatepass")
+    # items in one line or one a line: short ones
+    item = 0.0
+    if n_cuts.sum() + len(lines) >= 5:
+        cuts = np.array([0, *(e for m in ITEM.finditer(text) for e in m.span()), len(text)]).reshape(-1, 2)
+        count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[cuts])[:, 0]
+        there = count(~space) > 0
+        if there.sum() >= 5:
+            item = float((count(begins)[there] + (count(sign)[there] / 2 if unspaced else 0) <= 4).mean())
+    letters, digits = int(letter.sum()), int(digit.sum())
     return (
-        len(words), sum(map(len, words)) / max(1, len(words)), symbols / solid, digits / solid, ends, common_share(text, words, common),
-        len(lines), share["list"] / total, share["table"] / total, share["junk"] / total, share["prose"] / total,
-        fresh, packed, hard, item,
+        len(words), sum(map(len, words)) / max(1, len(words)), (solid - letters - digits) / solid, digits / solid, stop.count(True) / len(lines), common_share(unspaced, words, common),
+        len(lines), *(share[t] / total for t in ("list", "table", "junk", "prose")),
+        fresh_share(words, unspaced), len(zlib.compress(raw, 1)) / len(raw), sum(is_hard(w) * n for w, n in Counter(words).items()) / max(1, len(words)), item,
     )
 
 
