@@ -35,7 +35,7 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in self.rank.items()}
         self.single = [self.rank[bytes([b])] for b in range(256)]
         self.words = regex.compile(pattern).findall
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32
         self.pair: dict[tuple[int, int], int] = {}
 
     def merged(self, a: int, b: int) -> int:
@@ -120,17 +120,17 @@ class Vocabulary:
             ids[i : i + 2] = [r]
         return ids
 
-    def encode(self, texts: list[str | None]) -> list[list[np.ndarray]]:
-        """Of each text the ids of its words."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as int32."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
+        known = self.known
         cut = [self.words(t) if t else [] for t in texts]
-        fresh = list({w for ws in cut for w in ws if w not in self.known})
+        fresh = list({w for ws in cut for w in ws if w not in known})
         if fresh:
             for w, ids in zip(fresh, self.replay([w.encode() for w in fresh])):
-                self.known[w] = np.array(ids, np.int32)
-        known = self.known
-        return [[known[w] for w in ws] for ws in cut]
+                known[w] = np.array(ids, np.int32).tobytes()
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
 
 @lru_cache(maxsize=2)
@@ -159,12 +159,10 @@ def encoded(df: DataFrame, key: str, text: str, path: str, pattern: str) -> Data
         v = vocabulary(path, pattern)
         for batch in batches:
             for keys, texts in _groups(batch):
-                words = v.encode(texts)
-                flat = [w for ws in words for w in ws]
-                sizes = np.array([sum(map(len, ws)) for ws in words], np.int64)
-                values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                found = v.encode(texts)
+                offsets = np.cumsum([0, *map(len, found)]) // 4
+                values = np.frombuffer(b"".join(found), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([keys, lists], names=["doc_id", "ids"])
 
     return _read(df, key, text).mapInArrow(run, "doc_id long, ids array<int>")
@@ -177,7 +175,7 @@ def token_counts(df: DataFrame, key: str, text: str, path: str, pattern: str) ->
         v = vocabulary(path, pattern)
         for batch in batches:
             for keys, texts in _groups(batch):
-                sizes = np.array([sum(map(len, ws)) for ws in v.encode(texts)], np.int64)
+                sizes = np.array([len(x) // 4 for x in v.encode(texts)], np.int64)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(sizes)], names=["doc_id", "n_tokens"])
 
     return _read(df, key, text).mapInArrow(run, "doc_id long, n_tokens long")
