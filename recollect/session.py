@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per session, so that none needs it on its own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_recollect_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="recollect-"), "recollect.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(at)
+    sc._recollect_shipped = True
