@@ -96,3 +96,16 @@ def decode_queries(logits: np.ndarray, boxes: np.ndarray, width: int, height: in
 def tiles(width: int, height: int, side: int, columns: int, rows: int) -> list[tuple[int, int]]:
     """Left top corners of evenly spread square tiles."""
     return [(int(round(x)), int(round(y))) for y in np.linspace(0, height - side, rows) for x in np.linspace(0, width - side, columns)]
+
+
+def decode_columns(rows: np.ndarray, scale: float, width: int, height: int, least: float) -> list[tuple]:
+    """Per word (row 4 on) the best column of (cx, cy, w, h, scores..): (word, conf, box), letterbox undone, inside the picture."""
+    out = []
+    for word in range(4, len(rows)):
+        best = int(rows[word].argmax())
+        conf = float(rows[word, best])
+        if conf >= least:
+            cx, cy, w, h = rows[:4, best] / scale
+            box = (max(0.0, cx - w / 2), max(0.0, cy - h / 2), min(float(width), cx + w / 2), min(float(height), cy + h / 2))
+            out.append((word - 4, conf, tuple(map(float, box))))
+    return out

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.operators.kd import EARTH_M, Splits, chord, close_pairs, unit
+from recollect.operators.kd import Splits, chord, close_pairs, unit
 from recollect.operators.outlines import inside, ring_edges
 
 SAMPLE = 20_000  # rows of the sample that places the cuts; they only steer balance, never the result
@@ -61,22 +61,21 @@ def near_classes(spots: DataFrame, metres: float, rows: int, cell_rows: int = CE
             # own positions are dealt to one task of the cell, all of the cell's positions are seen by each
             turn = (np.abs(lat * 1e7).astype(np.int64) * 31 + np.abs(lon * 1e7).astype(np.int64)) % deal
             for t in range(deal):
-                yield pd.DataFrame({"part": cell * deal + t, "own": mine & (turn == t), "mine": mine, "lat": lat, "lon": lon})
+                yield pd.DataFrame({"part": cell * deal + t, "own": mine & (turn == t), "lat": lat, "lon": lon})
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts))
         lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
         pts = unit(lat, lon)
         a = np.flatnonzero(pdf["own"].to_numpy())
-        out = []
-        for i, j, _ in close_pairs(pts[a], pts, r):
+        for i, j, _ in close_pairs(pts[a], pts, r):  # piece by piece: a cell may have more pairs than memory
             i = a[i]
             # the smaller position's own task tells the pair
             first = (lat[i] < lat[j]) | ((lat[i] == lat[j]) & (lon[i] < lon[j]))
             i, j = i[first], j[first]
-            out.append(pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0) for c in ("lat_a", "lon_a", "lat_b", "lon_b")})
+            yield pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]})
 
-    placed = spots.mapInPandas(place, "part long, own boolean, mine boolean, lat double, lon double")
+    placed = spots.mapInPandas(place, "part long, own boolean, lat double, lon double")
     return placed.groupBy("part").applyInPandas(join, "lat_a double, lon_a double, lat_b double, lon_b double")
 
 
@@ -149,4 +148,4 @@ def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS,
     return found.distinct()
 
 
-__all__ = ["EARTH_M", "containing", "near_classes", "near_pairs", "positions"]
+__all__ = ["containing", "near_classes", "near_pairs", "positions"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as ft
 from recollect.functions import times, vectors
-from recollect.operators import jobs, metrics, tables
+from recollect.operators import jobs, metrics, moments, search, tables
 from recollect.plans import retrieval as R
 from recollect.plans import video as V
 from recollect.sources.tables import table
@@ -259,7 +259,67 @@ def x1_jobs(spark, d):
     return jobs.fold(n.select("job_id", F.explode(e).alias("e")).select("job_id", "e.*"))
 
 
+def j10_likeness(spark, d):
+    """Cosines of all pairs of vectors of one label, and of two, counted by hundredths."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
+    return moments.likeness_histogram(v)
+
+
+def j16_aligned(spark, d):
+    """Kept frames and captions of each video at the same hundredth of a second, and those that only one side has."""
+    at = F.round("t", 2).alias("t")
+    a = V.keyed(spark, d, "frames").where("kept = 1 and video_id is not null and t_s is not null and not isnan(t_s)").select("video_id", F.col("t_s").alias("t")).select("video_id", at).distinct().withColumn("a", F.lit(1))
+    b = V.keyed(spark, d, "video_texts").where("source = 'caption' and video_id is not null and start_s is not null and not isnan(start_s)").select("video_id", F.col("start_s").alias("t")).select("video_id", at).distinct().withColumn("b", F.lit(1))
+    j = a.join(b, ["video_id", "t"], "full_outer")
+    n = lambda c: F.sum(c.cast("long"))
+    return j.groupBy("video_id").agg(n(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), n(F.col("b").isNull()).alias("only_a"), n(F.col("a").isNull()).alias("only_b"))
+
+
+FAMILIES = {"germanic": ["en", "de"], "romance": ["es", "fr"], "other": ["ru", "ur", "zh"]}
+
+
+def j19_families(spark, d):
+    """The most confident chunk of each video for each family of languages."""
+    rows = [(k, x) for k, xs in FAMILIES.items() for x in xs]
+    names = spark.createDataFrame(rows, "thing string, lang string")
+    c = V.keyed(spark, d, "transcript_chunks").where("video_id is not null and confidence is not null and not isnan(confidence)")
+    return c.join(F.broadcast(names), "lang").groupBy("video_id", "thing").agg(F.max("confidence").alias("conf"))
+
+
+def a10_keyword_metrics(spark, d):
+    """A keyword ranking judged by whether its texts contain the words as letters."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = spark.createDataFrame([(1, ["folder"]), (2, ["umbrella"]), (3, ["kettle", "torch"])], "query long, words array<string>")
+    out = None
+    for query, words in ((1, ["red", "folder"]), (2, ["blue", "umbrella"]), (3, ["new", "torch"])):
+        top = search.best(search.bm25(docs, words), F.round("score", 9), 10).select(F.lit(query).cast("long").alias("query"), "id", (F.col("rank") + 1).alias("place"))
+        out = top if out is None else out.unionByName(top)
+    hit = out.join(docs, "id").join(q, "query").where(F.exists("words", lambda w: F.contains(F.lower("text"), w)))
+    per = metrics.retrieval(out, hit.select("query", "id"), q.select("query"))
+    return per.select("query", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit5", "mrr", "p5")])
+
+
+def a13_last_seen_rates(spark, d):
+    """How many of the questions for a last sighting have an answer."""
+    j = V.j15_last_seen(spark, d)
+    return j.agg(F.count("*").alias("n"), F.round(F.avg(F.col("answer").isNotNull().cast("double")), 6).alias("answered"))
+
+
+def a14_smoothed_f1(spark, d):
+    """The smoothed language of chunks held against their own."""
+    own = V.keyed(spark, d, "transcript_chunks").select("id", "lang")
+    return metrics.confusion(V.w2_smoothed(spark, d).join(own, "id"), "smooth", "lang")
+
+
+def a12_window_recall(spark, d):
+    """How many chunks of each video its best windows cover, for several ways to grow them."""
+    ready = V._scored_frames(spark, d)
+    truths = V._spans(spark, d).select("video_id", "start_s", "end_s").join(ready.select("video_id").distinct(), "video_id", "left_semi")
+    return moments.window_recall(ready, truths, [None, 0.7, 0.85])
+
+
 QUERIES = {f.__name__: f for f in (
+    j10_likeness, j16_aligned, j19_families, a10_keyword_metrics, a12_window_recall, a13_last_seen_rates, a14_smoothed_f1,
     a7_ir_metrics, a8_ir_summary, a15_confusion, a16_rule_grid, a17_length_sweep, a17_best_length, a18_gate_sweep, a19_agreement, a20_by_language, a21_spread, a22_threshold,
     a23_mark_counts, a24_latency, a26_median_of_medians, a27_newest_per_status, a28_speaker_overlap, a30_pareto, a31_drop_reasons, a32_deltas, a33_resources, a34_same_hits,
     a35_drift, a36_paired_similarity, w15_repeats, w16_counter_rates, w12_serial_start, t6_top_then_time, t7_every_third, t8_most_chunks, u2_with_speech_and_text, u3_not_indexed,
@@ -323,4 +383,12 @@ FROM (SELECT event_id, user_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (PA
     "p12_named": r"SELECT * FROM (SELECT doc_id, regexp_matches(text, '(?i)\b(key|umbrella)\b') named, contains(lower(text), 'key') OR contains(lower(text), 'umbrella') AS contains FROM documents WHERE text IS NOT NULL) WHERE named OR contains",
     "s20_locations": f"""SELECT video_id, text, round(CAST(regexp_extract(text, '^([+-]\\d+\\.\\d+)([+-]\\d+\\.\\d+)', 1) AS DOUBLE), 4) lat, round(CAST(regexp_extract(text, '^([+-]\\d+\\.\\d+)([+-]\\d+\\.\\d+)', 2) AS DOUBLE), 4) lon
 FROM (SELECT video_id, printf('%+08.4f%+09.4f/', floor(lat * 10000) / 10000, floor(lon * 10000) / 10000) text FROM {_VID} WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon))""",
+    "j10_likeness": """WITH e AS (SELECT vec_id id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings) SELECT a.label = b.label same, CAST(floor(round(list_cosine_similarity(a.v, b.v), 6) * 100) AS BIGINT) bin, count(*) n FROM e a JOIN e b ON a.id < b.id GROUP BY 1, 2""",
+    "j16_aligned": f"""WITH a AS (SELECT DISTINCT video_id, round(t_s, 2) t FROM {_FR} WHERE kept = 1 AND video_id IS NOT NULL AND NOT isnan(t_s)), b AS (SELECT DISTINCT video_id, round(start_s, 2) t FROM {_VT} WHERE source = 'caption' AND video_id IS NOT NULL AND NOT isnan(start_s))
+SELECT coalesce(a.video_id, b.video_id) video_id, count(*) FILTER (a.t IS NOT NULL AND b.t IS NOT NULL) "both", count(*) FILTER (b.t IS NULL) only_a, count(*) FILTER (a.t IS NULL) only_b FROM a FULL JOIN b ON a.video_id = b.video_id AND a.t = b.t GROUP BY 1""",
+    "j19_families": f"""SELECT video_id, CASE WHEN lang IN ('en', 'de') THEN 'germanic' WHEN lang IN ('es', 'fr') THEN 'romance' ELSE 'other' END thing, max(confidence) conf FROM {_TC} WHERE video_id IS NOT NULL AND NOT isnan(confidence) AND lang IN ('en', 'de', 'es', 'fr', 'ru', 'ur', 'zh') GROUP BY 1, 2""",
+    "a13_last_seen_rates": f"SELECT count(*) n, round(avg(CASE WHEN answer IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) answered FROM ({V.SQL['j15_last_seen']})",
+    "a14_smoothed_f1": f"""WITH k AS (SELECT id, unnest(list_distinct([smooth, lang])) thing, smooth, lang FROM ({V.SQL['w2_smoothed']}) JOIN (SELECT id, lang FROM {_TC}) USING (id)),
+c AS (SELECT thing, count(*) FILTER (smooth = thing AND lang IS NOT DISTINCT FROM thing) found, count(*) FILTER (smooth = thing AND lang IS DISTINCT FROM thing) wrong, count(*) FILTER (smooth IS DISTINCT FROM thing AND lang = thing) missed FROM k WHERE thing IS NOT NULL GROUP BY 1)
+SELECT thing, found, wrong, missed, {_RATES} FROM (SELECT *, {_PR} FROM c)""",
 }
