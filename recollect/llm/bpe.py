@@ -16,6 +16,7 @@ import heapq
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +127,7 @@ class Vocabulary:
             self.known.clear()
         known = self.known
         cut = [self.words(t) if t else [] for t in texts]
-        fresh = list({w for ws in cut for w in ws if w not in known})
+        fresh = list(set(chain.from_iterable(cut)) - known.keys())
         if fresh:
             for w, ids in zip(fresh, self.replay([w.encode() for w in fresh])):
                 known[w] = np.array(ids, np.int32).tobytes()
