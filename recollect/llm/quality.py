@@ -37,7 +37,8 @@ ITEM = regex.compile(r"\s*[;,>|/、，；]\s+|[、，；]|\s+[-•·]\s+|\n")
 SENTENCE = regex.compile(r"[.!?…。！？؟۔]+[\"')\]»”’」』）]*(?=\s|\p{Han}|$)")
 AMOUNT = regex.compile(r"[:：]\s*\d+\s*[.,;]?\s*$")
 SPEAKER = regex.compile(r"^\s*[\p{L}][\p{L}\p{M} ]{0,24}:\s+(?=\S)")
-LETTERS, DIGITS, SPACES, SIGNS, CODES, SEPARATORS, QUOTES = (1 << k for k in range(7))
+LETTERS, DIGITS, SPACES, SIGNS, CODES, SEPARATORS, QUOTES, WIDES = (1 << k for k in range(8))
+BITS = np.arange(7, dtype=np.uint8)[:, None]
 DELIMITERS = (",", ";", "\t", "|", "  ")
 COLUMNS = (
     "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "n_lines",
@@ -49,7 +50,8 @@ COLUMNS = (
 def classes() -> np.ndarray:
     """The kinds of every code point, as bits."""
     table = np.zeros(0x110000, np.uint8)
-    for k in range(0x110000):
+    table[0xE0100:0xE01F0] = LETTERS  # selectors; nothing else beyond the third plane is a letter, number or space
+    for k in range(0x33480):
         c = chr(k)
         kind = unicodedata.category(c)[0]
         if kind in "LM":
@@ -61,12 +63,19 @@ def classes() -> np.ndarray:
     blocks = ((0x4E00, 0xA000), (0x3400, 0x4DC0), (0x3005, 0x3008), (0x3041, 0x30FF), (0x0E01, 0x0E60), (0xF900, 0xFB00), (0x20000, 0x31350))
     for a, b in blocks:  # scripts without spaces
         table[a:b] |= np.where(table[a:b] & LETTERS, SIGNS, 0).astype(np.uint8)
-    for bit, signs in ((CODES, "{}<>\\=_|~^`#@[]"), (SEPARATORS, ";,>|/、，；•·-"), (QUOTES, "'’")):
+    for bit, signs in ((CODES, "{}<>\\=_|~^`#@[]"), (SEPARATORS, ";,>|/、，；•·-"), (QUOTES, "'’"), (WIDES, "、，；")):
         for c in signs:
             table[ord(c)] |= bit
     return table
 
 
+DASHES = tuple(map(ord, "-•·"))
+
+
+def strings(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Common:
     def __init__(self, words: set[str]):
         self.words = {w for w in words if not UNSPACED.search(w)}
@@ -171,26 +180,25 @@ def common_share(unspaced: str, words: list[str], common: Common) -> float:
 
 
 def statistics(text: str, common: Common) -> tuple:
-    kinds = classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    has = lambda bit: (kinds & bit) != 0
-    space = has(SPACES)
-    solid = len(text) - int(space.sum())
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = classes()[codes]
+    letter, digit, space, sign, code, cut, quote = ((kinds[None] >> BITS) & 1).view(bool)
+    solid = len(text) - int(np.count_nonzero(space))
     if not solid:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    words = WORD.findall(text.lower())
-    letter, digit, sign = has(LETTERS), has(DIGITS), has(SIGNS)
-    unspaced = "".join(UNSPACED.findall(text)) if sign.any() else ""
-    # words begin where letters do, but not behind an apostrophe within a word
-    inner = np.zeros(len(text), bool)
-    inner[1:-1] = has(QUOTES)[1:-1] & letter[:-2] & letter[2:]
-    run = letter | inner
-    begins = run & ~np.concatenate([[False], run[:-1]])
+    # words are runs of letters, and go on behind an apostrophe within them
+    run = letter.copy()
+    run[1:-1] |= quote[1:-1] & letter[:-2] & letter[2:]
+    begins = run.copy()
+    begins[1:] &= ~run[:-1]
+    words = strings(np.where(run, codes, 32).astype(np.uint32)).lower().split()
+    unspaced = strings(codes[sign]) if sign.any() else ""
     all_lines = text.splitlines(keepends=True)
     starts = np.cumsum([0, *map(len, all_lines[:-1])])
-    per = lambda mask: np.add.reduceat(mask, starts, dtype=np.int64)
     full = np.array([bool(x.strip()) for x in all_lines])
     lines = [x for x, f in zip(all_lines, full) if f]
-    n_words, n_signs, n_letters, n_digits, n_solid, n_code, n_cuts = (per(m)[full] for m in (begins, sign, letter, digit, ~space, has(CODES), has(SEPARATORS)))
+    per_line = np.add.reduceat(np.stack([begins, sign, letter, digit, ~space, code, cut]), starts, axis=1, dtype=np.int32)[:, full]
+    n_words, n_signs, n_letters, n_digits, n_solid, n_code, n_cuts = per_line
     weight = [len(x.strip()) for x in lines]
     total = sum(weight)
     stop = [ended(x) for x in lines]
@@ -209,7 +217,7 @@ def statistics(text: str, common: Common) -> tuple:
             kind = "junk"
         elif n_code[k] > 0.06 * len(x) or n_digits[k] and len(LOG.findall(x)) >= 2:
             kind = "junk"
-        elif n_digits[k] and AMOUNT.search(x) or n_cuts[k] >= 4 and listed(x):
+        elif n_digits[k] and AMOUNT.search(x[-24:]) or n_cuts[k] >= 4 and listed(x):
             kind = "list"
         elif n > 4 and ":" in x and SPEAKER.match(x) and not x.strip()[:1].islower():
             kind = "prose"
@@ -222,16 +230,21 @@ def statistics(text: str, common: Common) -> tuple:
         share[kind] += w
     raw = text.encode("utf-8", "surrogatepass")
     # items in one line or one a line: short ones
+    parts = (codes == 10) | (kinds & WIDES != 0)
+    dash = (codes == DASHES[0]) | (codes == DASHES[1]) | (codes == DASHES[2])
+    dash[1:] &= ~space[:-1]  # a dash, or a dot in the middle, takes white space on both sides
+    parts[:-1] |= cut[:-1] & space[1:] & ~dash[:-1]
     item = 0.0
-    if n_cuts.sum() + len(lines) >= 5:
-        cuts = np.array([0, *(e for m in ITEM.finditer(text) for e in m.span()), len(text)]).reshape(-1, 2)
-        count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[cuts])[:, 0]
-        there = count(~space) > 0
-        if there.sum() >= 5:
-            item = float((count(begins)[there] + (count(sign)[there] / 2 if unspaced else 0) <= 4).mean())
-    letters, digits = int(letter.sum()), int(digit.sum())
+    if np.count_nonzero(parts) >= 4:
+        edge = np.concatenate([[0], np.flatnonzero(parts) + 1, [len(text)]])
+        edge = edge[:-1][edge[:-1] < len(text)]
+        there = np.add.reduceat(~space & ~parts, edge, dtype=np.int32) > 0
+        if np.count_nonzero(there) >= 5:
+            size = np.add.reduceat(begins, edge, dtype=np.int32) + (np.add.reduceat(sign, edge, dtype=np.int32) / 2 if unspaced else 0)
+            item = float((size[there] <= 4).mean())
+    letters, digits = int(np.count_nonzero(letter)), int(np.count_nonzero(digit))
     return (
-        len(words), sum(map(len, words)) / max(1, len(words)), (solid - letters - digits) / solid, digits / solid, stop.count(True) / len(lines), common_share(unspaced, words, common),
+        len(words), int(np.count_nonzero(run)) / max(1, len(words)), (solid - letters - digits) / solid, digits / solid, stop.count(True) / len(lines), common_share(unspaced, words, common),
         len(lines), *(share[t] / total for t in ("list", "table", "junk", "prose")),
         fresh_share(words, unspaced), len(zlib.compress(raw, 1)) / len(raw), sum(is_hard(w) * n for w, n in Counter(words).items()) / max(1, len(words)), item,
     )
