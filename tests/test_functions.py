@@ -161,3 +161,27 @@ def test_decoders():
     rows[5] = [0.5, 0.5, math.log(2), math.log(4), 0.9, 0.1, 0.8]
     (c, p, b), = boxes.decode_grid(rows, 32, 32, 1.0, 0.5)
     assert c == 1 and p == pytest.approx(0.72) and b == pytest.approx((12 - 8, 12 - 16, 12 + 8, 12 + 16))
+
+
+def test_sound_and_boxed_pictures():
+    s = np.array([0.0, 0.5, -0.5, 2.0])
+    data = pictures.wav(s)
+    assert data[:4] == b"RIFF" and len(data) == 44 + 8 and pictures.read_wav(data) == pytest.approx([0, 0.5, -0.5, 32767 / 32768])
+    rgb = np.full((10, 20, 3), 7, np.uint8)
+    out, k = pictures.letterbox(rgb, 40, 40)
+    assert k == 2.0 and (out[:20] == 7).all() and (out[20:] == 114).all()
+    assert pictures.planes(rgb).shape == (3, 10, 20) and pictures.planes(rgb)[0, 0, 0] == pytest.approx(7 / 255)
+    rows = np.array([[50.0, 10], [50, 10], [20, 40], [20, 40], [0.1, 0.9], [0.2, 0.1]])
+    assert boxes.decode_columns(rows, 2.0, 100, 100, 0.5) == [(0, 0.9, (0.0, 0.0, 15.0, 15.0))]
+
+
+def test_tokenizers(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from recollect.functions.tokenizers import token_ids
+
+    df = spark.createDataFrame([("Hello world",), (None,), ("",)], "t string")
+    for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
+        got = [r.i for r in df.select(token_ids(F.col("t"), P.path(name)).alias("i")).collect()]
+        assert len(got[0]) >= 2 and got[1] == [] and got[2] == []
+    cut = df.select(token_ids(F.col("t"), P.path("word_bpe_49k.json"), 49406, 49407, 3).alias("i")).first().i
+    assert len(cut) == 3 and cut[0] == 49406 and cut[-1] == 49407
