@@ -22,7 +22,7 @@ def best(df: DataFrame, score: Column | str, k: int, *ties: Column) -> DataFrame
     """The k best rows with their rank (from 0): score descending, then ties, then id."""
     s = F.col(score) if isinstance(score, str) else score
     order = [s.desc(), *ties, F.col("id")]
-    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
 
 
 def dense(docs: DataFrame, query: DataFrame, strict: bool = True) -> DataFrame:
@@ -64,7 +64,7 @@ def prefix_hits(docs: DataFrame, words: list[str], limit: int = POOL) -> DataFra
     t = tokens(F.col("text"))
     hit = F.exists(t, lambda x: F.greatest(*[x.startswith(w) for w in words]) if len(words) > 1 else x.startswith(words[0]))
     first = docs.where(hit).select("id").orderBy("id").limit(limit)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("id")) - 1)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
 
 
 def fuse_common_first(d: DataFrame, s: DataFrame, offset: int = 61) -> DataFrame:
@@ -74,7 +74,7 @@ def fuse_common_first(d: DataFrame, s: DataFrame, offset: int = 61) -> DataFrame
     part = lambda c: F.coalesce(1.0 / (offset + F.col(c)), F.lit(0.0))
     scored = j.withColumns({"score": part("rd") + part("rs"), "common": both.cast("int"), "source": F.when(F.col("rd").isNotNull(), 0).otherwise(1)})
     order = [F.desc("common"), F.desc("score"), "source", F.coalesce("rd", "rs"), "id"]
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
 
 
 def fuse_sum(lists: list[DataFrame], offset: int = 61) -> DataFrame:
@@ -84,7 +84,7 @@ def fuse_sum(lists: list[DataFrame], offset: int = 61) -> DataFrame:
         one = x.select("id", "rank", F.lit(n).alias("list"))
         out = one if out is None else out.unionByName(one)
     s = out.groupBy("id").agg(F.sum(1.0 / (offset + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "first", "id")) - 1).drop("first")
+    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "first", "id")).cast("long") - 1).drop("first")
 
 
 def hybrid(docs: DataFrame, query: DataFrame, words: list[str], mode: str = "hybrid", pool: int = POOL, top: int = TOP, rerank: Callable | None = None, text: str = "") -> DataFrame:
@@ -107,7 +107,7 @@ def hybrid(docs: DataFrame, query: DataFrame, words: list[str], mode: str = "hyb
         few = kept.join(docs.select("id", "text"), "id")
         score = F.pandas_udf(lambda t: pd.Series(rerank(text, t.tolist()), dtype=float), "double")
         few = few.withColumns({"score": score("text"), "match": F.lit("reranked")}).drop("rank", "text")
-        kept = few.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)
+        kept = few.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long") - 1)
     kept = kept.where(F.col("rank") < top)
     out = kept.join(ds.select("id", F.col("score").alias("semantic")), "id", "left").join(ks.select("id", F.col("score").alias("keyword")), "id", "left")
     return out
@@ -136,11 +136,11 @@ def overlap_fallback(docs: DataFrame, query: str, pool: int = POOL) -> DataFrame
 
     want = sorted({w for w in re.split("[^a-zA-Z0-9]+", query.lower()) if len(w) > 2})
     words = F.array(*[F.lit(w) for w in want]) if want else F.array().cast("array<string>")
-    n = F.coalesce(F.size(F.array_intersect(words, ascii_words(F.col("text")))), F.lit(0))
+    n = F.coalesce(F.size(F.array_intersect(words, ascii_words(F.col("text")))), F.lit(0)).cast("long")
     counted = docs.select("id", n.alias("overlap"))
     hits = best(counted.where("overlap > 0"), "overlap", pool)
     none = hits.agg(F.count("*").alias("hits"))
-    rest = counted.orderBy("id").limit(pool).withColumn("rank", F.row_number().over(Window.orderBy("id")) - 1)
+    rest = counted.orderBy("id").limit(pool).withColumn("rank", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
     return hits.unionByName(rest.crossJoin(F.broadcast(none)).where("hits = 0").drop("hits"))
 
 
@@ -171,7 +171,7 @@ def block_search(docs: DataFrame, queries: DataFrame, dim: int, k: int, query_ro
         return pd.DataFrame({"query": ia[row][keep], "id": ib[col][keep], "score": s[row, col][keep]})
 
     met = q.groupBy("b", "p").cogroup(d.groupBy("b", "p")).applyInPandas(join, "query long, id long, score double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).cast("long")
     return met.withColumn("place", place).where(F.col("place") <= k)
 
 

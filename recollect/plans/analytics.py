@@ -216,7 +216,7 @@ def t6_top_then_time(spark, d):
 def t8_most_chunks(spark, d):
     """The three videos with the most chunks of each language."""
     n = V.keyed(spark, d, "transcript_chunks").where("video_id is not null and lang is not null").groupBy("lang", "video_id").agg(F.count("*").alias("n"))
-    return n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "video_id"))).where("r <= 3")
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "video_id")).cast("long")).where("r <= 3")
 
 
 def u2_with_speech_and_text(spark, d):

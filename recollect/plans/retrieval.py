@@ -135,7 +135,7 @@ def f2_token_counts(spark, d):
     """Tokens and different tokens of every document."""
     docs = table(spark, d, "documents")
     t = tokens(F.col("text"))
-    return docs.where("text is not null").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_kinds"))
+    return docs.where("text is not null").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_kinds"))
 
 
 QUERIES = {f.__name__: f for f in (

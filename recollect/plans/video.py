@@ -287,14 +287,14 @@ def u1_texts_by_time(spark, d):
     """Captions and transcripts together, numbered by time within their video."""
     t = keyed(spark, d, "video_texts").where("video_id is not null and start_s is not null and not isnan(start_s)")
     both = t.where("source = 'caption'").unionByName(t.where("source = 'transcript'"))
-    return both.select("id", "video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("start_s", "id")).alias("place"))
+    return both.select("id", "video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("start_s", "id")).cast("long").alias("place"))
 
 
 def w14_chunks(spark, d):
     """Memories cut into runs of 195 words that share 30."""
     m = tables.newest(table(spark, d, "memories"), ["id"], "loaded_at").where("text is not null")
     made = m.select("id", F.posexplode(ft.word_chunks(F.col("text"))).alias("chunk_index", "c"))
-    return made.select("id", "chunk_index", F.col("c.n_words").alias("n_words"), F.md5("c.chunk").alias("digest"))
+    return made.select("id", "chunk_index", F.col("c.n_words").cast("long").alias("n_words"), F.md5("c.chunk").alias("digest"))
 
 
 def s11_vector_codec(spark, d):
@@ -302,7 +302,7 @@ def s11_vector_codec(spark, d):
     m = tables.newest(table(spark, d, "memories"), ["id"], "loaded_at")
     v = F.coalesce(F.from_json("embedding", "array<double>"), F.array().cast("array<double>"))
     back = F.from_json(F.to_json(v), "array<double>")
-    return m.select("id", F.size(v).alias("n"), F.size(back).alias("n_back"))
+    return m.select("id", F.size(v).cast("long").alias("n"), F.size(back).cast("long").alias("n_back"))
 
 
 def s14_metadata(spark, d):
