@@ -240,6 +240,21 @@ def test_recall_over_many_cells(spark):
     assert pairs > 5000 and hit / pairs > 0.95
 
 
+def test_recall_where_blocks_have_cells_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(200, 32)), 20, axis=0) + rng.normal(size=(4000, 32)) * 0.35
+    ids = np.arange(4000)
+    full = brute(ids, v, 4000, 0.8)
+    want = {a: x[:5] for a, x in full.items()}
+    pairs = sum(len(x) for x in want.values())
+    monkeypatch.setattr(neighbours, "MAX_CELLS", 3)
+    for block in (65_536, 1500):
+        monkeypatch.setattr(neighbours, "LARGE_BLOCK", block)
+        got = got_of(neighbours.most_similar(table_of(spark, ids, v), 32, 4000, 5, 0.8, cell_rows=100))
+        assert all(set(x) <= set(full[a]) for a, x in got.items())
+        assert sum(len(set(got.get(a, [])) & set(x)) for a, x in want.items()) / pairs > 0.95
+
+
 def test_unusable_vectors_and_small_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, nan]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (6, [1.0, None]), (7, [inf, 1.0]), (8, [2.0, 0.1]), (None, [1.0, 1.0])]
