@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from recollect.operators.kd import Splits, chord, close_pairs, unit
 from recollect.operators.outlines import inside, ring_edges
+from recollect.session import spread
 
 SAMPLE = 20_000  # rows of the sample that places the cuts; they only steer balance, never the result
 CELL_ROWS = 8_000
@@ -76,7 +77,7 @@ def near_classes(spots: DataFrame, metres: float, rows: int, cell_rows: int = CE
             yield pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]})
 
     placed = spots.mapInPandas(place, "part long, own boolean, lat double, lon double")
-    return placed.groupBy("part").applyInPandas(join, "lat_a double, lon_a double, lat_b double, lon_b double")
+    return spread(placed, "part", splits.cells * deal).groupBy("part").applyInPandas(join, "lat_a double, lon_a double, lat_b double, lon_b double")
 
 
 def near_pairs(points: DataFrame, metres: float, **how) -> DataFrame:

@@ -42,6 +42,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, key: str, groups: int, rows_bytes: int = 0) -> DataFrame:
+    """df dealt by key to as many tasks as its work needs: groups of few bytes may still cost much time, and a planner that
+    only sees bytes would put them together. rows_bytes: all bytes of df, if they may be many."""
+    sc = df.sparkSession.sparkContext
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * sc.defaultParallelism, rows_bytes // (64 << 20))
+    return df.repartition(max(1, min(groups, tasks)), key)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per session, so that none needs it on its own path."""
     sc = spark.sparkContext
