@@ -338,7 +338,19 @@ m AS (SELECT query, max(CASE WHEN place <= 1 THEN rel ELSE 0 END)::DOUBLE hit1,
   sum(rel / log2(place + 1)) dcg, coalesce(avg(seen / place) FILTER (rel = 1), 0) ap FROM s GROUP BY 1),
 pq AS (SELECT m.*, coalesce(dcg / idcg, 0) ndcg5 FROM m LEFT JOIN ideal USING (query))"""
 
+_JOBS = f"""WITH RECURSIVE d AS (SELECT {V._key} job, status s, row_number() OVER (PARTITION BY {V._key} ORDER BY loaded_at) k FROM videos WHERE video_id IS NOT NULL),
+f(job, k, status, stage, attempts, error) AS (
+  SELECT job, k, CASE s WHEN 'ready' THEN 'done' WHEN 'failed' THEN 'queued' ELSE 'running' END, CASE WHEN s NOT IN ('ready', 'failed') THEN s END, CASE s WHEN 'failed' THEN 1 ELSE 0 END, CASE s WHEN 'failed' THEN s END FROM d WHERE k = 1
+  UNION ALL SELECT f.job, d.k,
+    CASE WHEN f.status NOT IN ('queued', 'running') THEN f.status WHEN s = 'ready' THEN 'done' WHEN s = 'failed' THEN CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'queued' END ELSE 'running' END,
+    CASE WHEN f.status IN ('queued', 'running') AND s NOT IN ('ready', 'failed') THEN s ELSE stage END,
+    CASE WHEN f.status IN ('queued', 'running') AND s = 'failed' THEN attempts + 1 ELSE attempts END,
+    CASE WHEN f.status NOT IN ('queued', 'running') THEN error WHEN s = 'ready' THEN NULL WHEN s = 'failed' THEN s ELSE error END
+  FROM f JOIN d ON f.job = d.job AND d.k = f.k + 1)
+SELECT job job_id, status, stage, attempts, error FROM f QUALIFY row_number() OVER (PARTITION BY job ORDER BY k DESC) = 1"""
+
 SQL = {
+    "x1_jobs": _JOBS,
     "a7_ir_metrics": f"WITH {_JUDGED} SELECT query, {', '.join(f'round({c}, 6) {c}' for c in SCORES)} FROM pq",
     "a8_ir_summary": f"WITH {_JUDGED} SELECT CASE WHEN grouping(src) = 1 THEN 'all' ELSE src END source, count(*) n, {', '.join(f'round(avg({c}), 4) {c}' for c in SCORES)} FROM (SELECT pq.*, coalesce(source, 'unknown') src FROM pq LEFT JOIN t ON pq.query = t.id) GROUP BY ROLLUP (src)",
     "a15_confusion": f"""WITH k AS (SELECT DISTINCT doc_id, unnest([k1, k2]) thing, k1, k2 FROM {_MARKS}), c AS (SELECT thing, count(*) FILTER (k2 = thing AND k1 IS NOT DISTINCT FROM thing) found, count(*) FILTER (k2 = thing AND k1 IS DISTINCT FROM thing) wrong, count(*) FILTER (k2 IS DISTINCT FROM thing AND k1 = thing) missed
@@ -347,6 +359,9 @@ FROM k WHERE thing IS NOT NULL GROUP BY 1) SELECT thing, found, wrong, missed, {
     "a17_length_sweep": f"""WITH s AS (SELECT length(text)::DOUBLE score, doc_kind = 'prose' truth FROM documents JOIN doc_labels USING (doc_id) WHERE marked_by = 'm1' AND doc_kind IS NOT NULL),
 c AS (SELECT cut::DOUBLE cut, count(*) FILTER (score >= cut AND truth) found, count(*) FILTER (score >= cut AND NOT truth) wrong, count(*) FILTER (truth AND (score < cut OR score IS NULL)) missed FROM s, range(100, 1100, 100) r(cut) GROUP BY 1)
 SELECT cut, found, wrong, missed, {_RATES} FROM (SELECT *, {_PR} FROM c)""",
+    "a17_best_length": f"""WITH s AS (SELECT length(text)::DOUBLE score, doc_kind = 'prose' truth FROM documents JOIN doc_labels USING (doc_id) WHERE marked_by = 'm1' AND doc_kind IS NOT NULL),
+c AS (SELECT cut::DOUBLE cut, count(*) FILTER (score >= cut AND truth) found, count(*) FILTER (score >= cut AND NOT truth) wrong, count(*) FILTER (truth AND (score < cut OR score IS NULL)) missed FROM s, range(100, 1100, 100) r(cut) GROUP BY 1)
+SELECT cut, round(2 * p * r / (p + r + 1e-9), 6) f1 FROM (SELECT *, {_PR} FROM c) ORDER BY f1 DESC, cut DESC LIMIT 1""",
     "a16_rule_grid": """WITH s AS (SELECT length(text) score, doc_kind = 'prose' truth, coalesce(lower(lang) = 'en', false) en FROM documents JOIN doc_labels USING (doc_id) WHERE marked_by = 'm1' AND doc_kind IS NOT NULL),
 g AS (SELECT *, CASE rule WHEN 'length' THEN coalesce(score >= cut, false) WHEN 'either' THEN coalesce(score >= cut, false) OR en ELSE coalesce(score >= cut, false) AND en END named FROM s, (VALUES (200.0), (500.0), (800.0)) c(cut), (VALUES ('length'), ('either'), ('both')) r(rule))
 SELECT cut::DOUBLE cut, rule, count(*) FILTER (named AND truth) found, count(*) FILTER (named AND NOT truth) wrong, round(avg(named::INT), 6) AS share FROM g GROUP BY 1, 2""",

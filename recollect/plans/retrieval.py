@@ -200,6 +200,8 @@ WHERE len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t
 FROM f LEFT JOIN ds ON f.id = ds.id LEFT JOIN ks ON f.id = ks.id WHERE f.rank < 5)
 SELECT id, rank, match, round(score, 6) score, round(semantic, 6) semantic, round(keyword, 6) keyword,
 CASE WHEN match = 'both' OR (semantic > 0.3 AND keyword > 0) THEN 'both' WHEN match = 'bm25' THEN 'bm25' ELSE 'semantic' END badge FROM h""",
+    "r12_reranked": f"""WITH {_M}, {_K}, {_CF}, c AS (SELECT f.id, len(list_intersect({sorted(set(query_words(ASK)))!r}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'))) / {len(set(query_words(ASK)))}.0 s FROM f JOIN m USING (id) WHERE f.rank < 20)
+SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 rank, 'reranked' match, round(s, 6)::DOUBLE score FROM c QUALIFY rank < 5""",
     "r13_overlap_rescored": f"""WITH {_M}, {_K}, {_sum('dl', 'kl', 61)} SELECT f.id, f.rank, round(greatest(0.1, least(0.98, 0.55 / (1 + f.rank * 0.15)
 + 0.45 * len(list_intersect({_ASK!r}, regexp_split_to_array(lower(coalesce(text, '')), '[^a-zA-Z0-9]+'))) / {len(_ASK)}.0)), 6) score FROM f JOIN m USING (id) WHERE f.rank < 20""",
     "r14_overlap_fallback": """SELECT * FROM (SELECT id, overlap, row_number() OVER (ORDER BY overlap DESC, id) - 1 rank FROM (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recollect.plans import video
+from recollect.plans import analytics, video
 from recollect.sources.tables import table
 from recollect.streaming import operators, run
 
@@ -59,6 +59,7 @@ def x10_first_deliveries(spark, d):
 QUERIES = {f.__name__: f for f in (x12_windows, x12_sessions, x8_index, x6_ledger, x1_job_stream, x10_first_deliveries)}
 
 SQL = {
+    "x1_job_stream": analytics.SQL["x1_jobs"],
     "x12_windows": "SELECT epoch_us(time_bucket(INTERVAL '15 minutes', ts)) start_us, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2",
     "x8_index": r"""SELECT term, count(DISTINCT doc_id) df, CAST(count(*) AS BIGINT) tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20""",
     "x10_first_deliveries": "SELECT id, source_type FROM memories QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1",
