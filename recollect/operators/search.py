@@ -151,8 +151,9 @@ def block_search(docs: DataFrame, queries: DataFrame, dim: int, k: int, query_ro
     is broadcast, and neither side has to fit in memory."""
     n = queries.count()
     blocks, doc_parts = max(1, -(-n // query_rows)), max(4, -(-docs.count() // doc_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(doc_parts))
+    # both sides' keys of one type, or equal ones would be dealt to different tasks
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(doc_parts)).cast("int")
     q = queries.select(block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(doc_parts - 1))).alias("p"), "id", doubles(F.col("v")).alias("v"))
     d = docs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), part.alias("p"), "id", doubles(F.col("v")).alias("v"))
 

@@ -190,7 +190,7 @@ def w16_counter_rates(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
     r = e.withColumns({"proc": F.sum(F.round(F.col("value") * 100).cast("long")).over(w), "at": F.col("event_id")})
     dp, dt = F.col("proc") - F.lag("proc").over(w), F.col("at") - F.lag("at").over(w)
-    return r.select("event_id", F.when(dt > 0, F.round(dp * 8 / dt, 3)).otherwise(0.0).alias("percent"))
+    return r.select("event_id", F.when(dt > 0, F.floor(dp * 8 / dt)).otherwise(0).alias("percent"))
 
 
 def w12_serial_start(spark, d):
@@ -386,7 +386,7 @@ count(*) FILTER (a.id IS DISTINCT FROM b.id OR abs(a.score - b.score) > 1e-5) =
     "a35_drift": """SELECT round(f, 6) "first", round(l, 6) "last", round((l - f) / f * 100, 6) percent FROM (SELECT avg(value) f FROM (SELECT value FROM events WHERE value IS NOT NULL ORDER BY ts, event_id LIMIT 10)), (SELECT avg(value) l FROM (SELECT value FROM events WHERE value IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 10))""",
     "a36_paired_similarity": """WITH p AS (SELECT label, CAST(embedding AS DOUBLE[]) v, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM embeddings) SELECT a.label, round(avg(list_dot_product(a.v, b.v)), 6) likeness, count(*) n FROM p a JOIN p b ON a.k = b.k AND b.label = 0 GROUP BY 1""",
     "w15_repeats": f"""SELECT video_id, count(*) n, count(*) FILTER (round(l, 9) > 0.95) n_repeats FROM (SELECT video_id, list_cosine_similarity(v, lag(v) OVER (PARTITION BY video_id ORDER BY frame_no, id)) l FROM (SELECT f.id, video_id, frame_no, v.v FROM {_FR} f JOIN {V._vec('image_vec', 'frame_id', 128)} v ON f.id = v.id WHERE kept = 1 AND video_id IS NOT NULL)) GROUP BY 1""",
-    "w16_counter_rates": """SELECT event_id, CASE WHEN event_id - lag(event_id) OVER w > 0 THEN round((proc - lag(proc) OVER w) * 8 / (event_id - lag(event_id) OVER w), 3) ELSE 0 END percent
+    "w16_counter_rates": """SELECT event_id, CASE WHEN event_id - lag(event_id) OVER w > 0 THEN CAST(floor((proc - lag(proc) OVER w) * 8 / (event_id - lag(event_id) OVER w)) AS BIGINT) ELSE 0 END percent
 FROM (SELECT event_id, user_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) proc FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "w12_serial_start": f"""SELECT id, greatest(start_s, coalesce(m, start_s)) began FROM (SELECT id, start_s, max(end_s) OVER (PARTITION BY video_id ORDER BY start_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM {_AU} WHERE video_id IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s))""",
     "t7_every_third": f"""SELECT video_id, row_number() OVER (PARTITION BY status ORDER BY video_id) % 3 = 1 third, row_number() OVER (PARTITION BY status ORDER BY duration_s DESC NULLS LAST, video_id) <= round(count(*) OVER (PARTITION BY status) / 3) top FROM {_VID}""",
