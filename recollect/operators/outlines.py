@@ -14,18 +14,19 @@ def ring_edges(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, int] | Non
     if len(lat) < 3 or not (np.isfinite(lat).all() and np.isfinite(lon).all()):
         return None
     lon = (lon + 180.0) % 360.0 - 180.0
-    step = (np.roll(lon, -1) - lon + 180.0) % 360.0 - 180.0
-    start, end = lon, lon + step
-    # a ring whose steps don't sum to zero runs round a pole: the one on its side of the equator
-    round_pole = abs(step.sum()) > 180.0
-    e = np.stack([start, lat, end, np.roll(lat, -1)], axis=1)
+    to_lat, to_lon = np.roll(lat, -1), np.roll(lon, -1)
+    # turns that bring the next corner within half a turn; corners keep their exact longitude, which neighbours share
+    turn = np.where(to_lon - lon > 180.0, -1, np.where(to_lon - lon < -180.0, 1, 0))
+    over = turn != 0
+    first = np.stack([lon, lat, to_lon + 360.0 * turn, to_lat], axis=1)
+    second = np.stack([lon - 360.0 * turn, lat, to_lon, to_lat], axis=1)[over]
+    e = np.concatenate([first, second])
     e = e[e[:, 0] != e[:, 2]]
     back = e[:, 0] > e[:, 2]
     e[back] = e[back][:, [2, 3, 0, 1]]
-    over, under = e[e[:, 2] > 180.0], e[e[:, 0] < -180.0]
-    shift = np.array([360.0, 0.0, 360.0, 0.0])
-    pole = (1 if lat.mean() > 0 else -1) if round_pole else 0
-    return np.concatenate([e, over - shift, under + shift]), pole
+    # a ring whose turns don't cancel out runs round a pole: the one on its side of the equator
+    pole = (1 if lat.mean() > 0 else -1) if turn.sum() else 0
+    return e, pole
 
 
 def inside(lat: np.ndarray, lon: np.ndarray, edges: np.ndarray, owner: np.ndarray, flip: np.ndarray, step: int = 2_000_000):

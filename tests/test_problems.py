@@ -103,6 +103,19 @@ def test_ring_round_a_pole():
         assert p.tolist() == ([0] if pole > 0 else [2])
 
 
+def test_points_below_a_corner_at_the_date_line():
+    rng = np.random.default_rng(7)
+    lon = np.round(np.r_[rng.uniform(179.99, 180, 12), rng.uniform(-180, -179.99, 12)], 7)
+    lat = np.round(rng.uniform(10, 10.01, 24), 7)
+    order = np.argsort(np.arctan2(lat - 10.005, (lon % 360) - 180))
+    lon, lat = lon[order], lat[order]
+    edges, held = outlines.ring_edges(lat, lon)
+    assert held == 0
+    for far in (-50.0, 9.0, 11.0, 80.0):  # under and over every corner, outside of the ring
+        p, _ = outlines.inside(np.full(24, far), lon, edges, np.zeros(len(edges), int), np.array([False]))
+        assert len(p) == 0
+
+
 def test_bitmaps_equal_sets():
     rng = np.random.default_rng(1)
     for n in (0, 10, 5000, 60000):
