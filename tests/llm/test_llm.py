@@ -255,6 +255,35 @@ def test_recall_where_blocks_have_cells_of_their_own(spark, monkeypatch):
         assert sum(len(set(got.get(a, [])) & set(x)) for a, x in want.items()) / pairs > 0.95
 
 
+@pytest.mark.parametrize("groups", [1, 2])
+def test_a_crowd_is_searched_whole_in_a_block_with_cells_of_its_own(groups):
+    rng = np.random.default_rng(7)
+    unit = neighbours._unit(rng.normal(size=128) + rng.normal(size=(4000, 128)) * 0.23)
+    bits = neighbours.bits_of(unit)
+    code, rest = bits[:, :128].copy().view(np.int8), bits[:, 128:].copy().view(np.uint16)
+    group = np.arange(4000) % groups
+    a, b, _ = neighbours.cut_block_best(np.arange(4000), code, rest, group, 5, 0.8, 40, 5)
+    cos = unit @ unit.T
+    cos[group[:, None] == group if groups == 2 else np.eye(4000, dtype=bool)] = -2
+    top = np.argpartition(-cos, 5, axis=1)[:, :5]
+    pairs = set(zip(a.tolist(), b.tolist()))
+    assert np.mean([(i, int(j)) in pairs for i in range(4000) for j in top[i]]) > 0.999
+
+
+def test_a_large_block_without_pairs():
+    bits = neighbours.bits_of(neighbours._unit(np.eye(64)))
+    code, rest = bits[:, :64].copy().view(np.int8), bits[:, 64:].copy().view(np.uint16)
+    assert [len(x) for x in neighbours.cut_block_best(np.arange(64), code, rest, np.zeros(64, int), 5, 0.8, 8, 5)] == [0, 0, 0]
+
+
+def test_tiles_of_few_rows_find_the_same():
+    rng = np.random.default_rng(5)
+    x = neighbours.tile_codes(neighbours._unit(np.ones((300, 16)) + rng.normal(size=(300, 16)) * 0.2))
+    for at_least in (None, 0.8):
+        pairs = [sorted((int(i), int(j)) for a, b in neighbours.tile_candidates(x, x, 5, at_least, True, n) for i, j in zip(a, b)) for n in (1, 10_000, neighbours.TILE)]
+        assert pairs[0] == pairs[1] == pairs[2] and pairs[0]
+
+
 def test_unusable_vectors_and_small_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, nan]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (6, [1.0, None]), (7, [inf, 1.0]), (8, [2.0, 0.1]), (None, [1.0, 1.0])]
