@@ -15,13 +15,13 @@ def _events(spark, d):
 
 def x12_windows(spark, d):
     """Counts of events per type and quarter of an hour."""
-    out = run.updated(operators.windowed(_events(spark, d), "ts", "event_type"), "windows", ["start", "event_type"])
+    out = run.updated(operators.windowed(_events(spark, d), "ts", "event_type", late=None), "windows", ["start", "event_type"])
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def x12_sessions(spark, d):
-    """Sessions of each user, parted by half an hour without events; those that had ended when the stream did."""
-    out = run.appended(operators.sessions(_events(spark, d), "ts", "user_id"), "sessions")
+    """Sessions of each user, parted by half an hour without events, with those still open when the stream ended."""
+    out = run.completed(operators.sessions(_events(spark, d), "ts", "user_id", late=None), "sessions")
     return out.select(F.unix_micros("start").alias("start_us"), "user_id", "n")
 
 

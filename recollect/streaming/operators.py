@@ -10,14 +10,17 @@ from recollect.operators import jobs, moments
 from recollect.streaming.run import each_batch
 
 
-def windowed(events: DataFrame, at: str, by: str, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts and sums per window; rows later than `late` behind the newest are dropped, as is any state before."""
-    g = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), by)
+def windowed(events: DataFrame, at: str, by: str, width: str = "15 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Counts and sums per window; rows later than `late` behind the newest are dropped, as is any state before.
+
+    late None, for a bounded replay: no row is too late, and all windows are kept as state."""
+    g = (events.withWatermark(at, late) if late else events).groupBy(F.window(at, width).alias("w"), by)
     return g.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def sessions(events: DataFrame, at: str, by: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    g = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), by)
+def sessions(events: DataFrame, at: str, by: str, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Sessions and their counts; late as in windowed(). Without it the stream needs complete mode (run.completed)."""
+    g = (events.withWatermark(at, late) if late else events).groupBy(F.session_window(at, gap).alias("w"), by)
     return g.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 

@@ -51,6 +51,18 @@ def updated(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def completed(stream: DataFrame, name: str) -> DataFrame:
+    """The whole result of an aggregation once its input is used up; each batch's takes the place of the one before."""
+    spark, at = stream.sparkSession, work_folder(stream.sparkSession, name)
+
+    def write(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", at + "/state").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
 def each_batch(stream: DataFrame, name: str, work) -> str:
     """work(batch, folder, number) for every micro-batch; gives the folder."""
     at = work_folder(stream.sparkSession, name)

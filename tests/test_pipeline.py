@@ -1,4 +1,5 @@
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -118,6 +119,20 @@ def test_streams(spark, tmp_path):
     assert ("red", 2) in {(r.term, r.tf) for r in operators.index_now(spark, folder).where("id = 2").collect()}
 
 
+def test_replays_keep_late_rows_and_open_sessions(spark, tmp_path):
+    from recollect.plans import streams
+
+    at = tmp_path / "events.parquet"
+    at.mkdir()
+    times = ["2025-01-02 10:00:00"] * 8 + ["2025-01-02 10:10:00", "2025-01-01 08:00:00", "2025-01-01 08:20:00", "2025-01-02 10:20:00"]
+    for k, t in enumerate(times):  # a file each: three batches, the late rows in the last
+        pd.DataFrame([(k, t, 7, "view", 1.0)], columns=["event_id", "ts", "user_id", "event_type", "value"]).to_parquet(at / f"{k:02}.parquet")
+        os.utime(at / f"{k:02}.parquet", (1e9 + k, 1e9 + k))
+    got = streams.x12_windows(spark, str(tmp_path)).collect()
+    assert sorted(r.n for r in got) == [1, 1, 1, 9]
+    assert sorted(r.n for r in streams.x12_sessions(spark, str(tmp_path)).collect()) == [2, 10]
+
+
 def test_every_query_runs_on_the_smallest_tables(spark, small):
     from recollect.plans import registry
 
