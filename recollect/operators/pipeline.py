@@ -34,8 +34,13 @@ def split(videos: DataFrame, fps: float = 3.0) -> DataFrame:
 
 
 def filtered(frames: DataFrame) -> DataFrame:
-    """frames with brightness and sharpness -> kept and drop_reason by slots."""
+    """frames with brightness and sharpness -> kept and drop_reason by slots.
+
+    With pixels, width and height, a slot's frame is also dropped as still against the last one kept; one without pixels isn't judged."""
     r = fr.slot_reasons(frames)
+    if {"pixels", "width", "height"} <= set(frames.columns):
+        still = fr.still_filter(r.where("reason is null and pixels is not null")).withColumnRenamed("reason", "_still")
+        r = r.join(still, ["video_id", "frame_no"], "left").withColumn("reason", F.coalesce("reason", "_still")).drop("_still")
     return r.withColumns({"kept": F.col("reason").isNull().cast("int"), "drop_reason": F.col("reason")}).drop("reason", "slot")
 
 
@@ -49,8 +54,15 @@ def deduplicated(frames: DataFrame) -> DataFrame:
     return j.withColumns({"kept": F.when(F.col("duplicate_of").isNotNull(), 0).otherwise(F.col("kept")), "drop_reason": F.coalesce(said, F.col("drop_reason"))}).drop("duplicate_of")
 
 
-def scenes(frames: DataFrame, personal: list[str], own: list[str]) -> DataFrame:
-    """frames: video_id, frame_id, objects, place, action -> the same with things only, people, caption."""
+def scenes(frames: DataFrame, personal: list[str], own: list[str], shares: dict[str, Column] | None = None) -> DataFrame:
+    """frames: video_id, frame_id, objects, place, action -> the same with things only, people, caption.
+
+    shares: of each action's phrase its share in a frame (null without a vector); then the action is that of the largest mean
+    share within 6 s of t_s, or none, and frames without shares keep theirs."""
+    if shares:
+        seen = F.greatest(*shares.values()).isNotNull()
+        m = moments.smoothed(frames.withColumn("_seen", seen), "video_id", "t_s", shares)
+        frames = m.withColumn("action", F.when(F.col("_seen"), F.col("smooth")).otherwise(F.col("action"))).drop("_seen", "smooth")
     s = frames.withColumns({"people": people(F.col("objects")), "objects": things(F.col("objects"))})
     return s.withColumn("caption", ft.caption(F.col("objects"), personal, own, F.col("people"), F.col("place"), F.col("action")))
 

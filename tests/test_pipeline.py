@@ -34,6 +34,22 @@ def test_scenes_and_small_objects(spark):
     assert p.small_objects(two, found, ["keys"], ["own"]).first().caption == two.first().caption
 
 
+def test_filter_drops_still_frames(spark):
+    rows = [("a", n, 100.0, 100.0 + n, [n // 27 * 90 + 5] * 16, 4, 4) for n in range(45)] + [("b", 0, 100.0, 100.0, None, None, None)]
+    m = spark.createDataFrame(rows, "video_id string, frame_no long, brightness double, sharpness double, pixels array<int>, width int, height int")
+    got = p.filtered(m).collect()
+    assert len(got) == 46 and {(r.video_id, r.frame_no) for r in got if r.kept} == {("a", 8), ("a", 35), ("b", 0)}
+    assert {r.frame_no for r in got if r.drop_reason == "still"} == {17, 26, 44}
+
+
+def test_scene_actions_are_smoothed(spark):
+    o = "array<struct<label: string, conf: double, box: array<double>, source: string>>"
+    rows = [("a", 1, 0.0, [], None, "x", 0.9, 0.1), ("a", 2, 3.0, [], None, "x", 0.4, 0.6), ("a", 3, 4.0, [], None, "reading", None, None), ("a", 4, 60.0, [], None, "x", 0.2, 0.1)]
+    s = spark.createDataFrame(rows, f"video_id string, frame_id long, t_s double, objects {o}, place string, action string, cook double, wash double")
+    got = {r.frame_id: r.action for r in p.scenes(s, [], [], {"cooking": F.col("cook"), "washing": F.col("wash")}).collect()}
+    assert got == {1: "cooking", 2: "cooking", 3: "reading", 4: None}
+
+
 def test_embeds_only_what_is_missing(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "yy")], "id long, path string")
     saved = spark.createDataFrame([(1, [7.0]), (3, [8.0])], "id long, v array<double>")
