@@ -341,9 +341,14 @@ def learn(counts: dict[int, int], rounds: int = 60, weight: float = 100.0) -> tu
     return dict(zip(codes, merged)), tables, shares
 
 
+COMMON_WORDS = 100_000
+
+
 def common_words(table: DataFrame) -> Common:
     """The frequent words as a set for the workers; the table is fixed at a few hundred rows."""
-    held = table.select(F.lower("word").alias("w")).where(F.length(F.trim("w")) > 0).distinct().limit(100_000).collect()
+    held = table.select(F.lower("word").alias("w")).where(F.length(F.trim("w")) > 0).distinct().limit(COMMON_WORDS + 1).collect()
+    if len(held) > COMMON_WORDS:
+        raise ValueError(f"more than {COMMON_WORDS} common words")
     return Common({r.w for r in held})
 
 

@@ -356,6 +356,14 @@ def test_common_words_table(spark):
     assert c.words == {"the"} and c.signs == {"的"}
 
 
+def test_too_many_common_words(spark, monkeypatch):
+    monkeypatch.setattr(quality, "COMMON_WORDS", 2, raising=False)
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    assert quality.common_words(words("a", "b")).words == {"a", "b"}
+    with pytest.raises(ValueError):
+        quality.common_words(words("a", "b", "c"))
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/doc_labels.parquet"), reason="labelled sample not here")
 def test_types_against_the_labelled_sample(spark):
     d = "/root/testdata/sf0.01"
