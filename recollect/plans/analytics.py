@@ -127,7 +127,7 @@ def a27_newest_per_status(spark, d):
 
 
 def a28_speaker_overlap(spark, d):
-    """Likeness of the sets of languages of each pair of tables' texts per video: chunks and documents of captions."""
+    """Likeness of the sets of speakers of each video's chunks with even and with odd ids; 1 if neither names any."""
     c = V.keyed(spark, d, "transcript_chunks").where("video_id is not null")
     s = c.groupBy("video_id").agg(F.collect_set(F.when(F.col("id") % 2 == 0, F.col("speaker"))).alias("a"), F.collect_set(F.when(F.col("id") % 2 == 1, F.col("speaker"))).alias("b"))
     return s.select("video_id", F.round(metrics.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
