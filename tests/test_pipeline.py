@@ -149,6 +149,18 @@ def test_replays_keep_late_rows_and_open_sessions(spark, tmp_path):
     assert sorted(r.n for r in streams.x12_sessions(spark, str(tmp_path)).collect()) == [2, 10]
 
 
+def test_whole_index_equals_its_sql(spark, small):
+    import duckdb
+
+    from recollect.plans import streams
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = set(db.execute(streams.SQL["x8_whole_index"]).fetchall())
+    got = {(r.term, r.df, r.tf) for r in streams.x8_whole_index(spark, small).collect()}
+    assert got == want and min(x[1] for x in got) < 20
+
+
 def test_every_query_runs_on_the_smallest_tables(spark, small):
     from recollect.plans import registry
 
