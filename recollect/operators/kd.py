@@ -19,71 +19,86 @@ def chord(metres: float, radius: float = EARTH_M) -> float:
 
 
 class Splits:
-    """Axis-parallel cells from recursive median cuts of a sample; every point of space lies in exactly one."""
+    """Axis-parallel cells from recursive median cuts of a sample; every point of space lies in exactly one.
 
-    def __init__(self, sample: np.ndarray, cells: int):
+    least: cuts lie on multiples of it, so no cell is narrower: a box of that size touches at most two cells an axis,
+    however dense the points. A crowd within `least` stays in one cell."""
+
+    def __init__(self, sample: np.ndarray, cells: int, least: float = 0.0):
         dim = sample.shape[1]
-        self.axis: list[int] = []
-        self.cut: list[float] = []
-        self.left: list[int] = []  # child node, or -1 - cell
-        self.right: list[int] = []
-        self.cells = 0
-        box = [np.full(dim, -np.inf), np.full(dim, np.inf)]
-        self.lo: list[np.ndarray] = []
-        self.hi: list[np.ndarray] = []
-        self.root = self._grow(sample, max(1, cells), *box)
-        self.lo_a, self.hi_a = np.array(self.lo), np.array(self.hi)
-
-    def _grow(self, pts: np.ndarray, cells: int, lo: np.ndarray, hi: np.ndarray) -> int:
-        if cells > 1 and len(pts) > 1:
-            spread = pts.max(0) - pts.min(0)
-            axis = int(spread.argmax())
-            order = np.sort(pts[:, axis])
-            cut = float(order[len(order) // 2])
-            if order[0] < cut:
-                node = len(self.axis)
-                for held, x in ((self.axis, axis), (self.cut, cut), (self.left, 0), (self.right, 0)):
-                    held.append(x)
-                mid_hi, mid_lo = hi.copy(), lo.copy()
-                mid_hi[axis] = mid_lo[axis] = cut
-                below = pts[:, axis] < cut
-                self.left[node] = self._grow(pts[below], cells // 2, lo, mid_hi)
-                self.right[node] = self._grow(pts[~below], cells - cells // 2, mid_lo, hi)
-                return node
-        self.lo.append(lo)
-        self.hi.append(hi)
-        self.cells += 1
-        return -self.cells
+        axis, cut, left, right, lo, hi = [], [], [], [], [], []
+        # (points, cells to make of them, box, node above, whether it is that node's right child)
+        todo = [(sample, max(1, cells), np.full(dim, -np.inf), np.full(dim, np.inf), -1, False)]
+        root = 0
+        while todo:
+            pts, n, low, high, above, is_right = todo.pop()
+            found = self._cut(pts, least) if n > 1 and len(pts) > 1 else None
+            if found is None:
+                node = -1 - len(lo)
+                lo.append(low)
+                hi.append(high)
+            else:
+                node = len(axis)
+                k, at = found
+                axis.append(k)
+                cut.append(at)
+                left.append(0)
+                right.append(0)
+                below = pts[:, k] < at
+                mid_hi, mid_lo = high.copy(), low.copy()
+                mid_hi[k] = mid_lo[k] = at
+                share = min(n - 1, max(1, round(n * np.count_nonzero(below) / len(pts))))
+                todo.append((pts[below], share, low, mid_hi, node, False))
+                todo.append((pts[~below], n - share, mid_lo, high, node, True))
+            if above < 0:
+                root = node
+            else:
+                (right if is_right else left)[above] = node
+        self.root, self.cells = root, len(lo)
+        self.axis, self.cut = np.array(axis, np.int64), np.array(cut, float)
+        self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
+        self.lo_a, self.hi_a = np.array(lo), np.array(hi)
+
+    @staticmethod
+    def _cut(pts: np.ndarray, least: float) -> tuple[int, float] | None:
+        low, high = pts.min(0), pts.max(0)
+        for k in np.argsort(low - high, kind="stable"):
+            if high[k] <= low[k]:
+                return None
+            at = float(np.partition(pts[:, k], len(pts) // 2)[len(pts) // 2])
+            if least > 0:
+                at = float(np.floor(at / least) * least)
+                if at <= low[k]:
+                    at += least
+            elif at <= low[k]:  # more than half of them lie at the low end
+                at = float(pts[pts[:, k] > low[k], k].min())
+            if low[k] < at <= high[k]:
+                return int(k), at
+        return None
 
     def home(self, pts: np.ndarray) -> np.ndarray:
         """The cell of each point."""
-        out = np.zeros(len(pts), np.int64)
-        todo = [(self.root, np.arange(len(pts)))]
-        while todo:
-            node, ids = todo.pop()
-            if not len(ids):
-                continue
-            if node < 0:
-                out[ids] = -1 - node
-                continue
-            below = pts[ids, self.axis[node]] < self.cut[node]
-            todo += [(self.left[node], ids[below]), (self.right[node], ids[~below])]
-        return out
+        node = np.full(len(pts), self.root, np.int64)
+        going = np.flatnonzero(node >= 0)
+        while len(going):
+            at = node[going]
+            below = pts[going, self.axis[at]] < self.cut[at]
+            node[going] = np.where(below, self.left[at], self.right[at])
+            going = going[node[going] >= 0]
+        return -1 - node
 
     def reached(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) of every cell that the box lo[row]..hi[row] touches."""
         rows, cells = [], []
-        todo = [(self.root, np.arange(len(lo)))]
-        while todo:
-            node, ids = todo.pop()
-            if not len(ids):
-                continue
-            if node < 0:
-                rows.append(ids)
-                cells.append(np.full(len(ids), -1 - node))
-                continue
+        row, node = np.arange(len(lo)), np.full(len(lo), self.root, np.int64)
+        while len(row):
+            end = node < 0
+            rows.append(row[end])
+            cells.append(-1 - node[end])
+            row, node = row[~end], node[~end]
             axis, cut = self.axis[node], self.cut[node]
-            todo += [(self.left[node], ids[lo[ids, axis] < cut]), (self.right[node], ids[hi[ids, axis] >= cut])]
+            below, above = lo[row, axis] < cut, hi[row, axis] >= cut
+            row, node = np.concatenate([row[below], row[above]]), np.concatenate([self.left[node[below]], self.right[node[above]]])
         return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 

@@ -1,13 +1,14 @@
 """Points near other points, and points inside outlines, of tables far larger than one machine.
 
-Near pairs: positions become unit vectors; k-d splits of a bounded sample cut space into cells; each position goes to
-its own cell and, as a halo copy, to every other cell within the radius; each cell walks two local k-d trees, its own
-positions against own and halo ones. A pair is told by the cell that owns its smaller position, so it comes out once.
-Ids at one and the same position form one class; the join works on classes and expands them at the end, since the
-result names ids. A cell's own positions are dealt to several tasks (`deal`) if a cell holds more than its share.
+Near pairs: equal positions are one class with a count. Positions become unit vectors; k-d splits of a bounded sample cut
+space into cells no narrower than two radii, so a position reaches at most eight; it goes to its own cell and, as a halo
+copy, to every other cell within the radius. A cell that the sample shows to hold more than `group_rows` is dealt into
+groups, and every pair of groups is a block of its own: a task holds two groups at most, however dense the crowd. In a
+block two local k-d trees are walked together by chord. A pair is told by the cell that owns its smaller position.
+The ordinary result are classes with counts; near_pairs() expands them to ids, by joins that deal shared places.
 
-Outlines: the same splits over (lon, lat); an outline goes to each cell that its box touches, in the cell a sweep
-along the longitude counts the edges north of each point.
+Outlines: the same splits over (lon, lat); an outline's edges go to the cells that its box touches, clipped to those that
+can lie north of the cell's points; in the cell a sweep along the longitude counts the edges north of each position.
 
 Defined cases: a null, NaN or out-of-range coordinate, or both zero, is no position; repeated rows count once; an id
 with two positions is near whatever either is near; an outline of fewer than three corners, or with a corner that is
@@ -24,13 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.operators.hot import hot_keys, salted_join
 from recollect.operators.kd import Splits, chord, close_pairs, unit
-from recollect.operators.outlines import inside, ring_edges
-from recollect.session import spread
+from recollect.operators.outlines import clipped, inside, ring_edges
+from recollect.session import checkpointed, spread
 
-SAMPLE = 20_000  # rows of the sample that places the cuts; they only steer balance, never the result
+SAMPLE = 100_000  # positions of the sample that places the cuts; they only steer balance, never the result
 CELL_ROWS = 8_000
-MAX_CELLS = 2_048
+MAX_CELLS = 16_384
+GROUP_ROWS = 32_768  # positions of one cell that go to a task together
+PLACE = ["lat", "lon"]
 
 
 def positions(df: DataFrame, key, lat: str, lon: str) -> DataFrame:
@@ -40,75 +44,152 @@ def positions(df: DataFrame, key, lat: str, lon: str) -> DataFrame:
     return df.where(ok).select(key.alias("id"), a.alias("lat"), o.alias("lon")).where(F.col("id").isNotNull()).distinct()
 
 
-def _splits(places: DataFrame, rows: int, dims, cell_rows: int, max_cells: int) -> Splits:
-    share = min(1.0, SAMPLE / max(1, rows))
-    held = places.select("lat", "lon").sample(share, seed=7).limit(2 * SAMPLE).toPandas()
-    pts = dims(held["lat"].to_numpy(float), held["lon"].to_numpy(float))
-    return Splits(pts, min(max_cells, -(-rows // cell_rows)))
+def classes(points: DataFrame) -> DataFrame:
+    """lat, lon, n: the distinct positions with the number of ids at each."""
+    return points.groupBy(*PLACE).agg(F.count("*").alias("n"))
 
 
-def near_classes(spots: DataFrame, metres: float, rows: int, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, deal: int = 4) -> DataFrame:
-    """lat_a, lon_a, lat_b, lon_b: pairs of different distinct positions (lat, lon) at most `metres` apart, each once."""
+def _sample(spots: DataFrame, rows: int, dims) -> np.ndarray:
+    """About SAMPLE positions, picked by their hash: the same ones whatever the partitions."""
+    share = round(min(1.0, SAMPLE / max(1, rows)) * (1 << 30))
+    held = spots.where(F.pmod(F.xxhash64(*PLACE), F.lit(1 << 30)) < share).select(*PLACE).toPandas()
+    return dims(held["lat"].to_numpy(float), held["lon"].to_numpy(float))
+
+
+class _Blocks:
+    """Cells dealt into groups, and the number of each pair of groups."""
+
+    def __init__(self, expect: np.ndarray, group_rows: int):
+        self.groups = np.maximum(1, np.ceil(expect / group_rows)).astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.groups * self.groups)])
+        self.n = int((self.groups * (self.groups + 1) // 2).sum())
+
+    def of(self, cell: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, block, group) for every block that a row of a cell joins; mark: a hash of the row."""
+        g = self.groups[cell]
+        mine = mark % g
+        row = np.repeat(np.arange(len(cell)), g)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(g) - g, g)
+        lo, hi = np.minimum(mine[row], other), np.maximum(mine[row], other)
+        return row, self.base[cell[row]] + lo * g[row] + hi, mine[row]
+
+
+def _mark(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    bits = (lat + 0.0).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (lon + 0.0).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((bits ^ (bits >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(2)).astype(np.int64)
+
+
+def _near(spots: DataFrame, metres: float, rows: int, found, schema: str, cell_rows: int, max_cells: int, group_rows: int) -> DataFrame:
+    """found(lat, lon, n, i, j) for pieces of the near pairs i, j of a block, i the smaller position."""
     r = chord(metres)
-    splits = _splits(spots, rows, unit, cell_rows, max_cells)
+    sample = _sample(spots, rows, unit)
+    splits = Splits(sample, min(max_cells, -(-rows // cell_rows)), 2 * r)
+    scale = max(rows, len(sample)) / max(1, len(sample))
+    reach = r * (1 + 1e-9)
+    blocks = _Blocks(np.bincount(splits.reached(sample - reach, sample + reach)[1], minlength=splits.cells) * scale, group_rows)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pts = unit(pdf["lat"].to_numpy(), pdf["lon"].to_numpy())
+            lat, lon, n = (pdf[c].to_numpy() for c in ("lat", "lon", "n"))
+            pts = unit(lat, lon)
             own = splits.home(pts)
-            row, cell = splits.reached(pts - r * (1 + 1e-9), pts + r * (1 + 1e-9))
-            mine = own[row] == cell
-            lat, lon = pdf["lat"].to_numpy()[row], pdf["lon"].to_numpy()[row]
-            # own positions are dealt to one task of the cell, all of the cell's positions are seen by each
-            turn = (np.abs(lat * 1e7).astype(np.int64) * 31 + np.abs(lon * 1e7).astype(np.int64)) % deal
-            for t in range(deal):
-                yield pd.DataFrame({"part": cell * deal + t, "own": mine & (turn == t), "lat": lat, "lon": lon})
+            row, cell = splits.reached(pts - reach, pts + reach)
+            at, part, group = blocks.of(cell, _mark(lat, lon)[row])
+            mine, at = (own[row] == cell)[at], row[at]
+            yield pd.DataFrame({"part": part, "grp": group, "own": mine, "lat": lat[at], "lon": lon[at], "n": n[at]})
 
     def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts))
-        lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
-        pts = unit(lat, lon)
-        a = np.flatnonzero(pdf["own"].to_numpy())
-        for i, j, _ in close_pairs(pts[a], pts, r):  # piece by piece: a cell may have more pairs than memory
-            i = a[i]
-            # the smaller position's own task tells the pair
+        pdf = pd.concat(list(parts))  # two groups
+        lat, lon, n, own = (pdf[c].to_numpy() for c in ("lat", "lon", "n", "own"))
+        pts, group = unit(lat, lon), pdf["grp"].to_numpy()
+        sides = [np.flatnonzero(group == g) for g in np.unique(group)]
+        if len(sides) == 1 and pdf["part"].iloc[0] not in ends:
+            return  # the block of two groups, one of them empty
+        p, q = sides[0], sides[-1]
+        for i, j, _ in close_pairs(pts[p], pts[q], r):  # piece by piece: a block may have more pairs than memory
+            i, j = p[i], q[j]
             first = (lat[i] < lat[j]) | ((lat[i] == lat[j]) & (lon[i] < lon[j]))
-            i, j = i[first], j[first]
-            yield pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]})
+            if len(sides) == 1:
+                i, j = i[first], j[first]
+            else:
+                i, j = np.where(first, i, j), np.where(first, j, i)
+            told = own[i]
+            yield found(lat, lon, n, i[told], j[told])
+
+    g = np.repeat(blocks.groups, blocks.groups)
+    k = np.arange(len(g)) - np.repeat(np.cumsum(blocks.groups) - blocks.groups, blocks.groups)
+    ends = set((np.repeat(blocks.base[:-1], blocks.groups) + k * g + k).tolist())  # blocks of one group with itself
+    placed = spots.select(*PLACE, "n").mapInPandas(place, "part long, grp long, own boolean, lat double, lon double, n long")
+    return spread(placed, "part", blocks.n, rows * 48).groupBy("part").applyInPandas(join, schema)
+
 
-    placed = spots.mapInPandas(place, "part long, own boolean, lat double, lon double")
-    return spread(placed, "part", splits.cells * deal).groupBy("part").applyInPandas(join, "lat_a double, lon_a double, lat_b double, lon_b double")
+def near_classes(spots: DataFrame, metres: float, rows: int, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """lat_a, lon_a, lat_b, lon_b: pairs of different positions of spots (lat, lon, n) at most `metres` apart, each once."""
+
+    def found(lat, lon, n, i, j) -> pd.DataFrame:
+        return pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]})
+
+    return _near(spots, metres, rows, found, "lat_a double, lon_a double, lat_b double, lon_b double", cell_rows, max_cells, group_rows)
+
+
+def near_counts(spots: DataFrame, metres: float, rows: int, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """lat, lon, n_here, n_near: for every position the ids at it, and those at other positions at most `metres` away.
+
+    No pair leaves its task, so a crowd costs its comparisons and nothing else."""
+
+    def found(lat, lon, n, i, j) -> pd.DataFrame:
+        both = np.bincount(i, n[j], len(lat)) + np.bincount(j, n[i], len(lat))
+        at = np.flatnonzero(both)
+        return pd.DataFrame({"lat": lat[at], "lon": lon[at], "n": both[at].astype(np.int64)})
+
+    parts = _near(spots, metres, rows, found, "lat double, lon double, n long", cell_rows, max_cells, group_rows)
+    near = parts.groupBy(*PLACE).agg(F.sum("n").alias("n_near"))
+    return spots.withColumnRenamed("n", "n_here").join(near, PLACE, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
 
 def near_pairs(points: DataFrame, metres: float, **how) -> DataFrame:
-    """id_a < id_b: different ids of points (id, lat, lon) with positions at most `metres` apart."""
-    spots = points.select("lat", "lon").distinct()
+    """id_a < id_b: different ids of points (id, lat, lon) with positions at most `metres` apart.
+
+    points is read several times, so it should be a checkpoint or a table."""
+    spots = checkpointed(classes(points))
     rows = spots.count()
     pairs = near_classes(spots, metres, rows, **how)
-    a = points.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
-    b = points.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    apart = pairs.join(a, ["lat_a", "lon_a"]).join(b, ["lat_b", "lon_b"]).select("id_a", "id_b")
-    same = a.join(b, (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))).where("id_a < id_b")
-    told = apart.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    hot = hot_keys(spots, PLACE, points.count())
+    ids = points.select("id", *PLACE)
+    a = salted_join(ids, pairs.withColumnsRenamed({"lat_a": "lat", "lon_a": "lon"}), PLACE, hot, ["id"])
+    a = a.select(F.col("id").alias("id_a"), F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"))
+    apart = salted_join(ids.withColumnRenamed("id", "id_b"), a, PLACE, hot, ["id_b"]).where("id_a <> id_b")
+    told = apart.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    shared = ids.join(spots.where("n > 1").select(*PLACE), PLACE, "left_semi")
+    same = salted_join(shared.withColumnRenamed("id", "id_b"), shared.withColumnRenamed("id", "id_a"), PLACE, hot, ["id_b"]).where("id_a < id_b")
     return told.unionByName(same.select("id_a", "id_b")).distinct()
 
 
-def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS) -> DataFrame:
-    """id_a (of points: id, lat, lon), id_b (of places: id, outline array<struct<lat, lon>>): the point lies inside."""
-    rows = points.count()
+def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """id_a (of points: id, lat, lon), id_b (of places: id, outline array<struct<lat, lon>>): the point lies inside.
+
+    points is read several times, so it should be a checkpoint or a table."""
+    spots = checkpointed(classes(points))
+    rows = spots.count()
 
     def flat(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         return np.stack([(lon + 180.0) % 360.0 - 180.0, lat], axis=1)
 
-    splits = _splits(points, rows, flat, cell_rows, max_cells)
+    sample = _sample(spots, rows, flat)
+    splits = Splits(sample, min(max_cells, -(-rows // cell_rows)))
+    # a cell's positions are dealt to several tasks where they are many; each of them sees all of the cell's edges
+    expect = np.bincount(splits.home(sample), minlength=splits.cells) * (max(rows, len(sample)) / max(1, len(sample)))
+    deals = np.maximum(1, np.ceil(expect / group_rows)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(deals)])
 
-    def place_points(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place_spots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf.assign(cell=splits.home(flat(pdf["lat"].to_numpy(), pdf["lon"].to_numpy())))
+            lat, lon = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
+            cell = splits.home(flat(lat, lon))
+            yield pd.DataFrame({"lat": lat, "lon": lon, "part": base[cell] + _mark(lat, lon) % deals[cell]})
 
     def place_rings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            ids, cells, rings, poles = [], [], [], []
             for key, la, lo in zip(pdf["id"], pdf["la"], pdf["lo"]):
                 made = ring_edges(np.asarray(la, float), np.asarray(lo, float)) if la is not None and lo is not None else None
                 if made is None or not len(made[0]):
@@ -119,34 +200,38 @@ def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS,
                 # by halves of the globe, so that a ring over the date line doesn't reach every cell
                 touched: set[int] = set()
                 for west, east in ((-180.0, 0.0), (0.0, 180.0)):
-                    part = edges[(edges[:, 0] < east) & (edges[:, 2] >= west)]
-                    if len(part):
-                        lo_b = np.array([[max(west, part[:, 0].min()), low]])
-                        hi_b = np.array([[min(east, part[:, 2].max()), high]])
+                    half = edges[(edges[:, 0] < east) & (edges[:, 2] >= west)]
+                    if len(half):
+                        lo_b = np.array([[max(west, half[:, 0].min()), low]])
+                        hi_b = np.array([[min(east, half[:, 2].max()), high]])
                         touched |= set(splits.reached(lo_b, hi_b)[1].tolist())
+                parts_of, sent = [], []
                 for c in sorted(touched):
-                    ids.append(key)
-                    cells.append(c)
-                    rings.append(edges.ravel())
-                    poles.append(pole > 0)
-            if ids:
-                yield pd.DataFrame({"id": ids, "cell": np.array(cells, np.int64), "edges": rings, "pole": np.array(poles, bool)})
+                    part = clipped(edges, splits.lo_a[c], splits.hi_a[c])
+                    if len(part) or pole > 0:
+                        parts_of += range(base[c], base[c + 1])
+                        sent += [part.ravel()] * int(deals[c])
+                if sent:
+                    yield pd.DataFrame({"id": key, "part": np.array(parts_of, np.int64), "edges": sent, "pole": pole > 0})
 
     def sweep(_, pts: pd.DataFrame, rings: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or rings.empty:
-            return pd.DataFrame({"id_a": [], "id_b": []}, dtype=object)
+            return pd.DataFrame({"lat": np.zeros(0), "lon": np.zeros(0), "id_b": np.zeros(0, object)})
         each = [np.asarray(e, float).reshape(-1, 4) for e in rings["edges"]]
         owner = np.repeat(np.arange(len(each)), [len(e) for e in each])
-        p, o = inside(pts["lat"].to_numpy(), pts["lon"].to_numpy(), np.concatenate(each), owner, rings["pole"].to_numpy())
-        return pd.DataFrame({"id_a": pts["id"].to_numpy()[p], "id_b": rings["id"].to_numpy()[o]})
+        lat, lon = pts["lat"].to_numpy(), pts["lon"].to_numpy()
+        p, o = inside(lat, lon, np.concatenate(each), owner, rings["pole"].to_numpy())
+        return pd.DataFrame({"lat": lat[p], "lon": lon[p], "id_b": rings["id"].to_numpy()[o]})
 
-    a = points.mapInPandas(place_points, "id string, lat double, lon double, cell long")
+    a = spots.select(*PLACE).mapInPandas(place_spots, "lat double, lon double, part long")
     corners = places.where(F.col("id").isNotNull() & F.col("outline").isNotNull() & ~F.exists("outline", lambda c: c.isNull()))
     corners = corners.select("id", F.col("outline.lat").alias("la"), F.col("outline.lon").alias("lo"))
     corners = corners.where(~F.exists("la", lambda x: x.isNull()) & ~F.exists("lo", lambda x: x.isNull()))
-    b = corners.mapInPandas(place_rings, "id string, cell long, edges array<double>, pole boolean")
-    found = a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(sweep, "id_a string, id_b string")
-    return found.distinct()
+    b = corners.mapInPandas(place_rings, "id string, part long, edges array<double>, pole boolean")
+    held = a.groupBy("part").cogroup(b.groupBy("part")).applyInPandas(sweep, "lat double, lon double, id_b string")
+    hot = hot_keys(spots, PLACE, points.count())
+    found = salted_join(points.select(F.col("id").alias("id_a"), *PLACE), held, PLACE, hot, ["id_a"])
+    return found.select("id_a", "id_b").distinct()
 
 
-__all__ = ["containing", "near_classes", "near_pairs", "positions"]
+__all__ = ["classes", "containing", "near_classes", "near_counts", "near_pairs", "positions"]

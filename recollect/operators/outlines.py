@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+FAR_NORTH = 91.0  # degrees
+
 
 def ring_edges(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, int] | None:
     """Edges (lon0, lat0, lon1, lat1) with lon0 < lon1 over [-180, 180), and the pole the ring holds: 1 north, -1 south, 0 none.
@@ -29,6 +31,21 @@ def ring_edges(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, int] | Non
     return e, pole
 
 
+def clipped(edges: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The edges that can lie north of a point of the cell low <= (lon, lat) < high.
+
+    Those wholly north of the cell count by their longitudes only: they become flat edges where an odd number of them lies
+    above one another, so the far side of a ring of many corners is a few edges."""
+    top, bottom = edges[:, [1, 3]].max(1), edges[:, [1, 3]].min(1)
+    near = (edges[:, 2] > low[0]) & (edges[:, 0] < high[0]) & (top > low[1])
+    north = near & (bottom >= high[1])
+    ends, n = np.unique(edges[north][:, [0, 2]], return_counts=True)
+    odd = ends[n % 2 == 1].reshape(-1, 2)
+    flat = np.stack([odd[:, 0], np.full(len(odd), FAR_NORTH), odd[:, 1], np.full(len(odd), FAR_NORTH)], axis=1)
+    flat = flat[(flat[:, 2] > low[0]) & (flat[:, 0] < high[0])]
+    return np.concatenate([edges[near & ~north], flat])
+
+
 def inside(lat: np.ndarray, lon: np.ndarray, edges: np.ndarray, owner: np.ndarray, flip: np.ndarray, step: int = 2_000_000):
     """(point, owner) pairs, the point inside the owner's ring: an odd number of its edges lies north of the point.
 

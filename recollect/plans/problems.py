@@ -5,35 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.operators.nearby import containing, near_pairs, positions
+from recollect.operators.nearby import classes, containing, near_counts, near_pairs, positions
 from recollect.operators.orphans import existing, orphan_keys, orphan_rows, references
 from recollect.operators.periods import gaps, periods
+from recollect.session import checkpointed
 from recollect.sources.tables import table, video_key, video_key_sql
 
 NEAR_M = 40.0
 
 
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return positions(table(spark, d, "videos"), video_key("video_id"), "lat", "lon")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    points = positions(table(spark, d, "videos"), video_key("video_id"), "lat", "lon")
+    points = checkpointed(_positions(spark, d))
     places = table(spark, d, "places").select(F.col("place_id").alias("id"), "outline")
     return near_pairs(points, NEAR_M).unionByName(containing(points, places))
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every position with the videos at it and those at other positions close to it."""
+    spots = checkpointed(classes(_positions(spark, d)))
+    return near_counts(spots, NEAR_M, spots.count())
+
+
 def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    videos, frames = table(spark, d, "videos"), table(spark, d, "frames")
+    videos, frames, chunks, vectors = (table(spark, d, t) for t in ("videos", "frames", "transcript_chunks", "image_vec"))
     removals = table(spark, d, "removals").select(video_key("video_id").alias("video_id"), "removed_at")
     live = existing(videos.select(video_key("video_id").alias("video_id"), "loaded_at"), "video_id", "loaded_at", removals, "removed_at")
-    by_video = references(frames, "frames", "id", video_key("video_id")).unionByName(
-        references(table(spark, d, "transcript_chunks"), "transcript_chunks", "id", video_key("video_id"))
-    )
-    vectors = table(spark, d, "image_vec")
+    by_video = references(frames, "frames", "id", video_key("video_id")).unionByName(references(chunks, "transcript_chunks", "id", video_key("video_id")))
     by_frame = references(vectors, "image_vec", "frame_id", F.col("frame_id"))
-    frame_keys = frames.select(F.col("id").alias("key"))
-    # footers tell the row counts, which bound the number of keys
-    lost_v = orphan_keys(by_video, live, videos.count())
-    lost_f = orphan_keys(by_frame, frame_keys, frames.count() + vectors.count())
-    rows = orphan_rows(by_video, lost_v).unionByName(orphan_rows(by_frame, lost_f))
-    names = lost_v.unionByName(lost_f.withColumn("key", F.col("key").cast("string")))
+    lost_v = checkpointed(orphan_keys(by_video, live))
+    lost_f = checkpointed(orphan_keys(by_frame, frames.select(F.col("id").alias("key"))))
+    # footers tell the row counts
+    rows = orphan_rows(by_video, lost_v, frames.count() + chunks.count()).unionByName(orphan_rows(by_frame, lost_f, vectors.count()))
+    names = lost_v.unionByName(lost_f.withColumn("key", F.col("key").cast("string"))).drop("n")
     return rows, names
 
 
@@ -64,7 +71,7 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
     return _both(spark, d, periods).select("src", "video_id", "period_no", "start_ms", "end_ms", "gap_before_ms")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_periods": p3_periods}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_periods": p3_periods}
 
 _key = video_key_sql("video_id")
 
@@ -89,7 +96,16 @@ r AS (SELECT src, video_id, CAST(round(start_s * 1000) AS BIGINT) s, CAST(round(
 m AS (SELECT *, max(e) OVER (PARTITION BY src, video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM r WHERE e > s)
 """
 
+_V1 = f"""
+WITH v AS (SELECT DISTINCT {_key} id, lat, lon FROM videos WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon) AND NOT (lat = 0 AND lon = 0))"""
+
 SQL = {
+    "p1_counts": _V1 + """,
+c AS (SELECT lat, lon, count(*) k, CAST(floor(lat * 1000) AS BIGINT) g, cos(radians(lat)) * cos(radians(lon)) x, cos(radians(lat)) * sin(radians(lon)) y, sin(radians(lat)) z FROM v WHERE id IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, unnest([g - 1, g, g + 1]) h FROM c),
+p AS (SELECT a.lat, a.lon, CAST(sum(b.k) AS BIGINT) near FROM c a JOIN n b ON a.g = b.h AND (a.lat <> b.lat OR a.lon <> b.lon)
+  WHERE 2 * 6371008.8 * asin(least(1, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2)) <= 40 GROUP BY ALL)
+SELECT c.lat, c.lon, k n_here, coalesce(near, 0) n_near FROM c LEFT JOIN p ON c.lat = p.lat AND c.lon = p.lon""",
     "p2_found": _P2 + "SELECT DISTINCT src, row_id, ym FROM lost",
     "p2_report": _P2 + "SELECT src, ym, count(DISTINCT row_id) n_rows, count(DISTINCT k) n_keys FROM lost GROUP BY 1, 2",
     "p3_found": _P3 + "SELECT src, video_id, reach gap_start_ms, s gap_end_ms FROM m WHERE s > reach",

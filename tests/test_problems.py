@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import bitmaps, kd, nearby, orphans, outlines, periods
+from recollect.operators import bitmaps, hot, kd, nearby, orphans, outlines, periods
 
 
 def test_splits_put_each_point_in_one_cell_and_halo_covers_the_radius():
@@ -54,6 +54,55 @@ def test_near_pairs_with_copies_date_line_pole_and_bad_positions(spark):
     assert nearby.near_pairs(none, 40.0).count() == 0
 
 
+@pytest.mark.parametrize("cells, group", [(10, 32_768), (500, 25)])
+def test_a_crowd_is_dealt_into_pairs_of_groups(spark, cells, group):
+    rng = np.random.default_rng(8)
+    rows = [(f"v{k}", float(a), float(o)) for k, (a, o) in enumerate(zip(rng.uniform(10, 10.0004, 120), rng.uniform(20, 20.0004, 120)))]
+    rows += [(f"w{k}", float(a), float(o)) for k, (a, o) in enumerate(zip(rng.uniform(-80, 80, 120), rng.uniform(-180, 180, 120)))] + [("v0b", *rows[0][1:])]
+    points = spark.createDataFrame(rows, "id string, lat double, lon double")
+    want = near_brute(rows, 30.0)
+    assert len(want) > 2000
+    assert {tuple(r) for r in nearby.near_pairs(points, 30.0, cell_rows=cells, group_rows=group).collect()} == want
+    spots = nearby.classes(points)
+    got = {(r.lat, r.lon): (r.n_here, r.n_near) for r in nearby.near_counts(spots, 30.0, len(rows), cell_rows=cells, group_rows=group).collect()}
+    near = {}
+    for i, j in want:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    at = {}
+    for i, a, o in rows:
+        at.setdefault((a, o), set()).add(i)
+    assert got == {(a, o): (len(at[a, o]), len(near.get(i, set()) - at[a, o])) for i, a, o in rows}
+
+
+def test_cells_are_never_narrower_than_two_radii():
+    rng = np.random.default_rng(2)
+    pts = np.concatenate([kd.unit(rng.uniform(10, 10.0002, 5000), rng.uniform(20, 20.0002, 5000)), kd.unit(rng.uniform(-90, 90, 5000), rng.uniform(-180, 180, 5000))])
+    r = kd.chord(40.0)
+    s = kd.Splits(pts, 2048, 2 * r)
+    row, cell = s.reached(pts - r, pts + r)
+    assert np.bincount(row).max() <= 8 and s.cells > 500
+    assert np.array_equal(np.sort(s.home(pts[:100])), np.sort(s.reached(pts[:100], pts[:100])[1]))
+
+
+def test_clipped_edges_keep_the_parity_of_every_cell():
+    rng = np.random.default_rng(4)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 3000))
+    size = rng.uniform(3, 9, 3000)
+    edges, _ = outlines.ring_edges(size * np.sin(angle), size * np.cos(angle))
+    lat, lon = rng.uniform(-12, 12, 4000), rng.uniform(-12, 12, 4000)
+    whole = set(outlines.inside(lat, lon, edges, np.zeros(len(edges), int), np.array([False]))[0].tolist())
+    splits = kd.Splits(np.stack([lon, lat], axis=1), 40)
+    home, found, sent = splits.home(np.stack([lon, lat], axis=1)), set(), 0
+    for c in range(splits.cells):
+        e = outlines.clipped(edges, splits.lo_a[c], splits.hi_a[c])
+        sent += len(e)
+        at = np.flatnonzero(home == c)
+        if len(e):
+            found |= set(at[outlines.inside(lat[at], lon[at], e, np.zeros(len(e), int), np.array([False]))[0]].tolist())
+    assert found == whole and sent < 6 * len(edges)
+
+
 def ray_inside(lat, lon, ring):
     hit = False
     n = len(ring)
@@ -128,22 +177,44 @@ def test_bitmaps_equal_sets():
 
 def test_orphans(spark):
     refs = spark.createDataFrame(
-        [("t", 1, "2025-01", "a"), ("t", 2, "2025-01", "b"), ("t", 2, "2025-01", "b"), ("t", 3, "2025-02", "b"), ("u", 1, None, "c"), ("u", 4, "2025-01", None)],
+        [("t", 1, "2025-01", "a"), ("t", 2, "2025-01", "b"), ("t", 3, "2025-01", "b"), ("t", 3, "2025-02", "b"), ("u", 1, None, "c"), ("u", 4, "2025-01", None)],
         "src string, row_id long, ym string, key string",
     )
     parents = spark.createDataFrame([("a",), ("a",), (None,)], "key string")
-    lost = orphans.orphan_keys(refs, parents, 1000, keys_per_range=1)
-    assert {tuple(r) for r in lost.collect()} == {("t", "2025-01", "b"), ("t", "2025-02", "b"), ("u", None, "c")}
-    assert {tuple(r) for r in orphans.orphan_rows(refs, lost).collect()} == {("t", 2, "2025-01"), ("t", 3, "2025-02"), ("u", 1, None)}
-    assert orphans.orphan_keys(refs.limit(0), parents, 0).count() == 0
-    assert orphans.orphan_keys(refs, parents.limit(0), 0).count() == 4
+    lost = orphans.orphan_keys(refs, parents, keys_per_range=1)
+    assert {tuple(r) for r in lost.collect()} == {("t", "2025-01", "b", 2), ("t", "2025-02", "b", 1), ("u", None, "c", 1)}
+    assert {tuple(r) for r in orphans.orphan_rows(refs, lost, 6).collect()} == {("t", 2, "2025-01"), ("t", 3, "2025-01"), ("t", 3, "2025-02"), ("u", 1, None)}
+    assert orphans.orphan_keys(refs.limit(0), parents).count() == 0
+    assert orphans.orphan_keys(refs, parents.limit(0)).count() == 4
+
+
+def test_references_keep_every_key_that_deliveries_name(spark):
+    rows = [(1, "b", 3), (1, "a", 1), (1, "c", 2), (1, None, 0), (2, None, 1), (3, "b", 5), (None, "x", 1)]
+    df = spark.createDataFrame(rows, "id long, k string, day int").withColumn("loaded_at", F.timestamp_seconds(F.lit(1735689600) + F.col("day") * 86400 * 30)).withColumn("key", F.lit("clash"))
+    got = {tuple(r) for r in orphans.references(df, "t", "id", F.col("k")).collect()}
+    assert got == {("t", 1, "2025-01", k) for k in "abc"} | {("t", 3, "2025-05", "b"), ("t", None, "2025-01", "x")}
 
 
-def test_orphans_by_number(spark):
+def test_orphans_by_number_and_ranges_of_lost_parents(spark):
     ids = spark.range(0, 300_000, 3).select(F.col("id").alias("key"))
     refs = spark.range(299_000, 300_100).select(F.lit("x").alias("src"), F.col("id").alias("row_id"), F.lit("m").alias("ym"), F.col("id").alias("key"))
-    got = {r.key for r in orphans.orphan_keys(refs, ids, 400_000, keys_per_range=50_000).collect()}
+    got = {r.key for r in orphans.orphan_keys(refs, ids, keys_per_range=50_000).collect()}
     assert got == {k for k in range(299_000, 300_100) if k % 3 or k >= 300_000}
+    # without parents the ranges follow the keys of the references
+    far = refs.withColumn("key", F.col("key") * 65536)
+    lost = orphans.orphan_keys(far, ids.limit(0), keys_per_range=100)
+    assert lost.count() == 1100
+
+
+def test_a_hot_key_is_dealt(spark):
+    big = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    keys = hot.hot_keys(big.groupBy("k").agg(F.count("*").alias("n")), ["k"], 1000, hot_rows=100)
+    assert [tuple(r) for r in keys.collect()] == [("hot", 7)]
+    other = spark.createDataFrame([("hot", 1), ("hot", 2), ("800", 3), ("none", 4)], "k string, x int")
+    got = hot.salted_join(big, other, ["k"], keys, ["id"])
+    assert got.count() == 1401 and set(got.columns) == {"k", "id", "x"}
+    assert hot.salted_join(big, other, ["k"], keys, ["id"], "left_anti").count() == 299
+    assert hot.salted_join(big, other, ["k"], keys, ["id"], "left_semi").distinct().count() == 701
 
 
 def test_existing_after_last_removal(spark):
