@@ -102,7 +102,7 @@ class Splits:
         return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: float, leaf: int = 48, step: int = 4_000_000):
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: float, leaf: int = 48, step: int = 1_000_000):
     """Yields (i, j, squared distance) arrays of all a[i], b[j] at most radius apart, by walking two k-d trees together.
 
     At most about `step` distances are held at once, however many pairs there are."""
@@ -139,6 +139,47 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: float, leaf: int = 48, ste
         at = to
 
 
+def close_totals(a: np.ndarray, b: np.ndarray, weight: np.ndarray, radius: float, leaf: int = 48, step: int = 1_000_000) -> np.ndarray:
+    """For each a[i] the total weight of the b[j] at most radius apart, without naming the pairs: two nodes that lie wholly
+    within the radius of each other count at once."""
+    out = np.zeros(len(a), np.int64)
+    if not len(a) or not len(b):
+        return out
+    ta, tb = _Tree(a, leaf), _Tree(b, leaf)
+    run = np.concatenate([[0], np.cumsum(weight[tb.order].astype(np.int64))])
+    mass = run[tb.start + tb.size] - run[tb.start]
+    whole = np.zeros(len(a) + 1, np.int64)  # differences over ta.order
+    r2 = radius * radius * (1 + 1e-12)
+    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(x):
+        gap = np.maximum(0, np.maximum(ta.lo[x] - tb.hi[y], tb.lo[y] - ta.hi[x]))
+        far = np.maximum(ta.hi[x] - tb.lo[y], tb.hi[y] - ta.lo[x])
+        near = np.einsum("ij,ij->i", gap, gap) <= r2
+        full = np.einsum("ij,ij->i", far, far) <= r2
+        np.add.at(whole, ta.start[x[full]], mass[y[full]])
+        np.subtract.at(whole, ta.start[x[full]] + ta.size[x[full]], mass[y[full]])
+        x, y = x[near & ~full], y[near & ~full]
+        ends = (ta.kid[x] < 0) & (tb.kid[y] < 0)
+        ex, ey = x[ends], y[ends]
+        total = np.cumsum(ta.size[ex] * tb.size[ey])
+        at = 0
+        while at < len(ex):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step)))
+            i, j = _expand(ta.start[ex[at:to]], ta.size[ex[at:to]], tb.start[ey[at:to]], tb.size[ey[at:to]])
+            i, j = ta.order[i], tb.order[j]
+            d = a[i] - b[j]
+            hit = np.einsum("ij,ij->i", d, d) <= r2
+            np.add.at(out, i[hit], weight[j[hit]])
+            at = to
+        x, y = x[~ends], y[~ends]
+        first = (ta.kid[x] >= 0) & ((tb.kid[y] < 0) | (ta.size[x] >= tb.size[y]))
+        xa, ya, xb, yb = x[first], y[first], x[~first], y[~first]
+        x = np.concatenate([ta.kid[xa], ta.kid[xa] + 1, xb, xb])
+        y = np.concatenate([ya, ya, tb.kid[yb], tb.kid[yb] + 1])
+    out[ta.order] += np.cumsum(whole[:-1])
+    return out
+
+
 def _expand(s1: np.ndarray, n1: np.ndarray, s2: np.ndarray, n2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = n1 * n2
     base = np.repeat(np.cumsum(n) - n, n)

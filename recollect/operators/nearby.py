@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.operators.hot import hot_keys, salted_join
-from recollect.operators.kd import Splits, chord, close_pairs, unit
+from recollect.operators.kd import Splits, chord, close_pairs, close_totals, unit
 from recollect.operators.outlines import clipped, inside, ring_edges
 from recollect.session import checkpointed, spread
 
@@ -80,7 +80,7 @@ def _mark(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 
 
 def _near(spots: DataFrame, metres: float, rows: int, found, schema: str, cell_rows: int, max_cells: int, group_rows: int) -> DataFrame:
-    """found(lat, lon, n, i, j) for pieces of the near pairs i, j of a block, i the smaller position."""
+    """found(pdf, pts, sides, r) for every block: the positions of one group, or of two, and which of them the cell owns."""
     r = chord(metres)
     sample = _sample(spots, rows, unit)
     splits = Splits(sample, min(max_cells, -(-rows // cell_rows)), 2 * r)
@@ -100,21 +100,10 @@ def _near(spots: DataFrame, metres: float, rows: int, found, schema: str, cell_r
 
     def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(parts))  # two groups
-        lat, lon, n, own = (pdf[c].to_numpy() for c in ("lat", "lon", "n", "own"))
-        pts, group = unit(lat, lon), pdf["grp"].to_numpy()
+        group = pdf["grp"].to_numpy()
         sides = [np.flatnonzero(group == g) for g in np.unique(group)]
-        if len(sides) == 1 and pdf["part"].iloc[0] not in ends:
-            return  # the block of two groups, one of them empty
-        p, q = sides[0], sides[-1]
-        for i, j, _ in close_pairs(pts[p], pts[q], r):  # piece by piece: a block may have more pairs than memory
-            i, j = p[i], q[j]
-            first = (lat[i] < lat[j]) | ((lat[i] == lat[j]) & (lon[i] < lon[j]))
-            if len(sides) == 1:
-                i, j = i[first], j[first]
-            else:
-                i, j = np.where(first, i, j), np.where(first, j, i)
-            told = own[i]
-            yield found(lat, lon, n, i[told], j[told])
+        if len(sides) == 2 or pdf["part"].iloc[0] in ends:  # else the block of two groups, one of them empty
+            yield from found(pdf, unit(pdf["lat"].to_numpy(), pdf["lon"].to_numpy()), sides, r)
 
     g = np.repeat(blocks.groups, blocks.groups)
     k = np.arange(len(g)) - np.repeat(np.cumsum(blocks.groups) - blocks.groups, blocks.groups)
@@ -126,8 +115,19 @@ def _near(spots: DataFrame, metres: float, rows: int, found, schema: str, cell_r
 def near_classes(spots: DataFrame, metres: float, rows: int, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """lat_a, lon_a, lat_b, lon_b: pairs of different positions of spots (lat, lon, n) at most `metres` apart, each once."""
 
-    def found(lat, lon, n, i, j) -> pd.DataFrame:
-        return pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]})
+    def found(pdf: pd.DataFrame, pts: np.ndarray, sides: list[np.ndarray], r: float) -> Iterator[pd.DataFrame]:
+        lat, lon, own = (pdf[c].to_numpy() for c in ("lat", "lon", "own"))
+        p, q = sides[0], sides[-1]
+        for i, j, _ in close_pairs(pts[p], pts[q], r):  # piece by piece: a block may have more pairs than memory
+            i, j = p[i], q[j]
+            first = (lat[i] < lat[j]) | ((lat[i] == lat[j]) & (lon[i] < lon[j]))
+            if len(sides) == 1:
+                i, j = i[first], j[first]
+            else:
+                i, j = np.where(first, i, j), np.where(first, j, i)
+            told = own[i]  # the smaller position's own cell tells the pair
+            i, j = i[told], j[told]
+            yield pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]})
 
     return _near(spots, metres, rows, found, "lat_a double, lon_a double, lat_b double, lon_b double", cell_rows, max_cells, group_rows)
 
@@ -137,10 +137,15 @@ def near_counts(spots: DataFrame, metres: float, rows: int, cell_rows: int = CEL
 
     No pair leaves its task, so a crowd costs its comparisons and nothing else."""
 
-    def found(lat, lon, n, i, j) -> pd.DataFrame:
-        both = np.bincount(i, n[j], len(lat)) + np.bincount(j, n[i], len(lat))
-        at = np.flatnonzero(both)
-        return pd.DataFrame({"lat": lat[at], "lon": lon[at], "n": both[at].astype(np.int64)})
+    def found(pdf: pd.DataFrame, pts: np.ndarray, sides: list[np.ndarray], r: float) -> Iterator[pd.DataFrame]:
+        n, own = pdf["n"].to_numpy(), pdf["own"].to_numpy()
+        for p, q in [(sides[0], sides[0])] if len(sides) == 1 else [(sides[0], sides[1]), (sides[1], sides[0])]:
+            mine = p[own[p]]
+            total = close_totals(pts[mine], pts[q], n[q], r)
+            if len(sides) == 1:
+                total -= n[mine]  # itself
+            at = mine[total > 0]
+            yield pd.DataFrame({"lat": pdf["lat"].to_numpy()[at], "lon": pdf["lon"].to_numpy()[at], "n": total[total > 0]})
 
     parts = _near(spots, metres, rows, found, "lat double, lon double, n long", cell_rows, max_cells, group_rows)
     near = parts.groupBy(*PLACE).agg(F.sum("n").alias("n_near"))

@@ -28,6 +28,10 @@ def test_close_pairs_equal_brute_force(leaf):
     d = ((a[:, None] - b[None]) ** 2).sum(2)
     assert got == set(zip(*(x.tolist() for x in np.nonzero(d <= 0.16 * (1 + 1e-12)))))
     assert not list(kd.close_pairs(a[:0], b, 1.0))
+    w = rng.integers(1, 9, 150)
+    for r in (0.4, 3.0, 50.0):
+        want = ((d <= r * r * (1 + 1e-12)) * w).sum(1)
+        assert kd.close_totals(a, b, w, r, leaf, 5000).tolist() == want.tolist()
 
 
 def near_brute(rows, metres):
