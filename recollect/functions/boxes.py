@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: overlap above which a box is suppressed, least visible side of a crop, strides of the grid detector
 NMS_IOU, MIN_SIDE = 0.45, 16
+STRIDES = (8, 16, 32)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -71,7 +73,7 @@ def people(objects: Column, least: float = 0.35) -> Column:
 def decode_grid(rows: np.ndarray, width: int, height: int, ratio: float, least: float) -> list[tuple]:
     """Boxes of a grid detector with strides 8, 16, 32: rows of (x, y, w, h, objectness, classes..) -> (class, conf, box)."""
     xs, ys, steps = [], [], []
-    for step in (8, 16, 32):
+    for step in STRIDES:
         gy, gx = np.mgrid[0 : height // step, 0 : width // step]
         xs.append(gx.ravel())
         ys.append(gy.ravel())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.session import checkpointed
+
 
 def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key: the one with the largest `order`."""
@@ -15,9 +17,10 @@ def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def append_with_ids(old: DataFrame, new: DataFrame, order: list[str], key: str = "id") -> DataFrame:
     """old and new, the new rows numbered on from the largest id, in the given order.
 
-    Ranks within sorted partitions plus the counts of the partitions before: no task sees all rows."""
+    Ranks within sorted partitions plus the counts of the partitions before: no task sees all rows. The sorted rows are
+    checkpointed with the number of their partition, so ranks and counts are of the same partitions even if a task runs again."""
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    part = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    part = checkpointed(new.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = part.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = local.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -64,7 +64,7 @@ def r5_expanded(spark, d):
     """What expansion adds to every short document read as a query."""
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     e = expanded(F.col("text"), CONCEPTS)
-    added = F.substring(e, F.length("text") + 2, 1000)
+    added = F.substring(e, F.length("text") + 2, F.length(e))
     return docs.select("doc_id", added.alias("added")).where("added <> ''")
 
 

@@ -10,6 +10,7 @@ from recollect.functions import times, vectors
 from recollect.operators import frames as fr
 from recollect.operators import moments, tables
 from recollect.operators.integrity import problems
+from recollect.session import checkpointed
 from recollect.sources.tables import table, video_key, video_key_sql
 
 LANGS = ["en", "de", "es", "fr", "ru", "ur", "zh"]
@@ -162,19 +163,25 @@ def w2_smoothed(spark, d):
 
 
 def _scored_frames(spark, d):
-    v = vectors_of(spark, d, "image_vec", "frame_id", 128)
-    q = v.orderBy("id").limit(1).select(vectors.normalized(F.col("v")).alias("q"))
+    """Kept frames of ready videos with their likeness to the first usable vector; only (id, score) goes through the newest-row step."""
+    v = table(spark, d, "image_vec").select("frame_id", "loaded_at", F.col("embedding").cast("array<double>").alias("v"))
+    ok = (F.size("v") == 128) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0.0)
+    first = v.where(ok).groupBy("frame_id").agg(F.max_by("v", "loaded_at").alias("v")).orderBy("frame_id").limit(1)
+    q = first.select(vectors.normalized(F.col("v")).alias("q"))
+    s = v.crossJoin(F.broadcast(q)).select("frame_id", "loaded_at", F.when(ok, vectors.dot(F.col("v"), F.col("q")) / vectors.norm(F.col("v"))).alias("score"))
+    s = tables.newest(s, ["frame_id"], "loaded_at").where("score is not null").select(F.col("frame_id").alias("id"), "score")
     ready = videos(spark, d).where("status = 'ready'").select("video_id")
     f = keyed(spark, d, "frames").where("kept = 1 and video_id is not null and t_s is not null and not isnan(t_s)").join(ready, "video_id", "left_semi")
-    s = v.crossJoin(F.broadcast(q)).select("id", vectors.dot(vectors.normalized(F.col("v")), F.col("q")).alias("score"))
     return f.select("id", "video_id", "t_s").join(s, "id")
 
 
 def r19_moments(spark, d):
     """The 20 best moments like the first frame, with the frame's file and caption."""
-    hits = moments.moment_search(_scored_frames(spark, d))
-    files = keyed(spark, d, "frames").select("id", "file_path")
-    words = keyed(spark, d, "video_texts").where("source = 'caption'").groupBy(F.col("ref_id").alias("id")).agg(F.min("text").alias("caption"))
+    hits = checkpointed(moments.moment_search(_scored_frames(spark, d)))  # 20 rows
+    few = F.broadcast(hits.select("id"))
+    files = tables.newest(table(spark, d, "frames").join(few, "id", "left_semi"), ["id"], "loaded_at").select("id", "file_path")
+    t = table(spark, d, "video_texts").join(few, F.col("ref_id") == few["id"], "left_semi")  # ref_id of one text never changes
+    words = tables.newest(t, ["id"], "loaded_at").where("source = 'caption'").groupBy(F.col("ref_id").alias("id")).agg(F.min("text").alias("caption"))
     out = hits.join(files, "id", "left").join(words, "id", "left")
     return out.withColumns({c: F.round(c, 4) for c in ("score", "start_s", "end_s")})
 
@@ -208,7 +215,7 @@ def j15_last_seen(spark, d):
 
 def _spans(spark, d):
     c = keyed(spark, d, "transcript_chunks")
-    ok = "video_id is not null and not isnan(start_s) and not isnan(end_s) and end_s >= start_s and start_s > -1e9 and end_s < 1e9"
+    ok = "video_id is not null and not isnan(start_s) and not isnan(end_s) and end_s >= start_s"
     return c.where(ok).select(F.col("id").alias("chunk"), "video_id", "lang", "start_s", "end_s")
 
 
@@ -234,13 +241,8 @@ def j12_wasted(spark, d):
 
 def j14_tiou(spark, d):
     """How many chunks some sound segment covers at an overlap of .3 and of .5, by language."""
-    a = keyed(spark, d, "audio_segments").where("video_id is not null and not isnan(start_s) and not isnan(end_s) and end_s >= start_s and start_s > -1e9 and end_s < 1e9").select("video_id", F.col("start_s").alias("a0"), F.col("end_s").alias("a1"))
-    width = 60.0
-    span = lambda lo, hi: F.sequence(F.floor(lo / width), F.floor(hi / width))
-    a = a.withColumns({"lo": F.floor(F.col("a0") / width), "b": F.explode(span(F.col("a0"), F.col("a1")))})
-    c = _spans(spark, d).withColumns({"lo2": F.floor(F.col("start_s") / width), "b": F.explode(span(F.col("start_s"), F.col("end_s")))})
-    # an overlapping pair meets in the bucket where the later one starts
-    m = c.join(a, ["video_id", "b"]).where(F.col("b") == F.greatest("lo", "lo2"))
+    a = keyed(spark, d, "audio_segments").where("video_id is not null and not isnan(start_s) and not isnan(end_s) and end_s >= start_s").select("video_id", F.col("start_s").alias("a0"), F.col("end_s").alias("a1"))
+    m = moments.overlapping(_spans(spark, d), a, "video_id", "start_s", "end_s", "a0", "a1")
     best = m.groupBy("chunk").agg(F.max(moments.tiou(F.col("a0"), F.col("a1"), F.col("start_s"), F.col("end_s"))).alias("best"))
     j = _spans(spark, d).join(best, "chunk", "left").groupBy(F.coalesce("lang", F.lit("unknown")).alias("lang"))
     at = lambda x: F.sum(F.when(F.col("best") >= x, 1).otherwise(0))
@@ -335,7 +337,7 @@ WHERE len(v) = {dim} AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) =
 
 
 _OUT = "(x.start_s < 0 OR x.end_s < x.start_s OR x.end_s > v.duration_s + 1)"
-_SPAN = f"(SELECT id chunk, video_id, lang, start_s, end_s FROM {_TC} WHERE video_id IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s >= start_s AND start_s > -1e9 AND end_s < 1e9)"
+_SPAN = f"(SELECT id chunk, video_id, lang, start_s, end_s FROM {_TC} WHERE video_id IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s >= start_s)"
 _KEPT = f"(SELECT id, video_id, t_s FROM {_FR} WHERE kept = 1 AND video_id IS NOT NULL AND NOT isnan(t_s))"
 _HASH = f"(SELECT *, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE u END AS BIGINT) h FROM (SELECT *, CAST('0x' || phash AS UBIGINT) u FROM {_FR} WHERE video_id IS NOT NULL AND frame_no IS NOT NULL))"
 _SIGHT = "(SELECT vec_id id, CAST(label AS VARCHAR) label, CAST(embedding AS DOUBLE[]) v, epoch_us(ts) seen_at FROM embeddings JOIN events ON vec_id = event_id)"
@@ -388,7 +390,7 @@ SELECT label, ask, coalesce(max(t) FILTER (c >= 0.25), arg_max(t, c)) answer FRO
     "j11_moment_recall": f"""WITH s AS (SELECT * FROM {_SPAN}), h AS (SELECT DISTINCT chunk FROM s JOIN {_KEPT} k ON s.video_id = k.video_id AND k.t_s BETWEEN s.start_s - 1 AND s.end_s + 1)
 SELECT coalesce(lang, 'all') lang, n, hits, round(hits / n, 6) recall FROM (SELECT lang, count(*) n, CAST(sum(hit) AS BIGINT) hits FROM (SELECT coalesce(lang, 'unknown') lang, CASE WHEN chunk IN (SELECT chunk FROM h) THEN 1 ELSE 0 END hit FROM s) GROUP BY ROLLUP (lang))""",
     "j12_wasted": f"""WITH s AS (SELECT * FROM {_SPAN}) SELECT video_id, count(*) n_wasted FROM {_KEPT} k WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.video_id = k.video_id AND k.t_s BETWEEN s.start_s - 1 AND s.end_s + 1) GROUP BY 1""",
-    "j14_tiou": f"""WITH s AS (SELECT * FROM {_SPAN}), a AS (SELECT video_id, start_s a0, end_s a1 FROM {_AU} WHERE video_id IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s >= start_s AND start_s > -1e9 AND end_s < 1e9),
+    "j14_tiou": f"""WITH s AS (SELECT * FROM {_SPAN}), a AS (SELECT video_id, start_s a0, end_s a1 FROM {_AU} WHERE video_id IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s >= start_s),
 b AS (SELECT chunk, max(greatest(0, least(a1, end_s) - greatest(a0, start_s)) / (greatest(a1, end_s) - least(a0, start_s) + 1e-9)) best FROM s JOIN a USING (video_id) GROUP BY 1)
 SELECT coalesce(lang, 'unknown') lang, count(*) n, count(*) FILTER (best >= 0.3) at_3, count(*) FILTER (best >= 0.5) at_5 FROM s LEFT JOIN b USING (chunk) GROUP BY 1""",
     "m3_prompts": f"""WITH v AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM {_vec('image_vec', 'frame_id', 128)}),
