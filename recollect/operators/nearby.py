@@ -44,16 +44,21 @@ def positions(df: DataFrame, key, lat: str, lon: str) -> DataFrame:
     return df.where(ok).select(key.alias("id"), a.alias("lat"), o.alias("lon")).where(F.col("id").isNotNull()).distinct()
 
 
-def classes(points: DataFrame) -> DataFrame:
-    """lat, lon, n: the distinct positions with the number of ids at each."""
-    return points.groupBy(*PLACE).agg(F.count("*").alias("n"))
+class Spots:
+    """The distinct positions of points (id, lat, lon) as a checkpoint `table` (lat, lon, n: ids at it), their number, that
+    of the points, and about SAMPLE positions, picked by their hash: the same ones whatever the partitions."""
 
+    def __init__(self, points: DataFrame):
+        self.table = checkpointed(points.groupBy(*PLACE).agg(F.count("*").alias("n")))
+        r = self.table.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("points")).first()
+        self.rows, self.points = r["rows"], r["points"]
+        share = round(min(1.0, SAMPLE / max(1, self.rows)) * (1 << 30))
+        held = self.table.where(F.pmod(F.xxhash64(*PLACE), F.lit(1 << 30)) < share).select(*PLACE).toPandas()
+        self.lat, self.lon = held["lat"].to_numpy(float), held["lon"].to_numpy(float)
+        self.scale = max(1.0, self.rows / max(1, len(held)))
 
-def _sample(spots: DataFrame, rows: int, dims) -> np.ndarray:
-    """About SAMPLE positions, picked by their hash: the same ones whatever the partitions."""
-    share = round(min(1.0, SAMPLE / max(1, rows)) * (1 << 30))
-    held = spots.where(F.pmod(F.xxhash64(*PLACE), F.lit(1 << 30)) < share).select(*PLACE).toPandas()
-    return dims(held["lat"].to_numpy(float), held["lon"].to_numpy(float))
+    def hot(self) -> DataFrame:
+        return hot_keys(self.table, PLACE, self.points)
 
 
 class _Blocks:
@@ -79,14 +84,13 @@ def _mark(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return ((bits ^ (bits >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(2)).astype(np.int64)
 
 
-def _near(spots: DataFrame, metres: float, rows: int, found, schema: str, cell_rows: int, max_cells: int, group_rows: int) -> DataFrame:
+def _near(spots: Spots, metres: float, found, schema: str, cell_rows: int, max_cells: int, group_rows: int) -> DataFrame:
     """found(pdf, pts, sides, r) for every block: the positions of one group, or of two, and which of them the cell owns."""
     r = chord(metres)
-    sample = _sample(spots, rows, unit)
-    splits = Splits(sample, min(max_cells, -(-rows // cell_rows)), 2 * r)
-    scale = max(rows, len(sample)) / max(1, len(sample))
+    sample = unit(spots.lat, spots.lon)
+    splits = Splits(sample, min(max_cells, -(-spots.rows // cell_rows)), 2 * r)
     reach = r * (1 + 1e-9)
-    blocks = _Blocks(np.bincount(splits.reached(sample - reach, sample + reach)[1], minlength=splits.cells) * scale, group_rows)
+    blocks = _Blocks(np.bincount(splits.reached(sample - reach, sample + reach)[1], minlength=splits.cells) * spots.scale, group_rows)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -108,12 +112,12 @@ def _near(spots: DataFrame, metres: float, rows: int, found, schema: str, cell_r
     g = np.repeat(blocks.groups, blocks.groups)
     k = np.arange(len(g)) - np.repeat(np.cumsum(blocks.groups) - blocks.groups, blocks.groups)
     ends = set((np.repeat(blocks.base[:-1], blocks.groups) + k * g + k).tolist())  # blocks of one group with itself
-    placed = spots.select(*PLACE, "n").mapInPandas(place, "part long, grp long, own boolean, lat double, lon double, n long")
-    return spread(placed, "part", blocks.n, rows * 48).groupBy("part").applyInPandas(join, schema)
+    placed = spots.table.mapInPandas(place, "part long, grp long, own boolean, lat double, lon double, n long")
+    return spread(placed, "part", blocks.n, spots.rows * 48).groupBy("part").applyInPandas(join, schema)
 
 
-def near_classes(spots: DataFrame, metres: float, rows: int, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """lat_a, lon_a, lat_b, lon_b: pairs of different positions of spots (lat, lon, n) at most `metres` apart, each once."""
+def near_classes(spots: Spots, metres: float, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """lat_a, lon_a, lat_b, lon_b: pairs of different positions at most `metres` apart, each once."""
 
     def found(pdf: pd.DataFrame, pts: np.ndarray, sides: list[np.ndarray], r: float) -> Iterator[pd.DataFrame]:
         lat, lon, own = (pdf[c].to_numpy() for c in ("lat", "lon", "own"))
@@ -129,10 +133,10 @@ def near_classes(spots: DataFrame, metres: float, rows: int, cell_rows: int = CE
             i, j = i[told], j[told]
             yield pd.DataFrame({"lat_a": lat[i], "lon_a": lon[i], "lat_b": lat[j], "lon_b": lon[j]})
 
-    return _near(spots, metres, rows, found, "lat_a double, lon_a double, lat_b double, lon_b double", cell_rows, max_cells, group_rows)
+    return _near(spots, metres, found, "lat_a double, lon_a double, lat_b double, lon_b double", cell_rows, max_cells, group_rows)
 
 
-def near_counts(spots: DataFrame, metres: float, rows: int, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_counts(spots: Spots, metres: float, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """lat, lon, n_here, n_near: for every position the ids at it, and those at other positions at most `metres` away.
 
     No pair leaves its task, so a crowd costs its comparisons and nothing else."""
@@ -147,43 +151,40 @@ def near_counts(spots: DataFrame, metres: float, rows: int, cell_rows: int = CEL
             at = mine[total > 0]
             yield pd.DataFrame({"lat": pdf["lat"].to_numpy()[at], "lon": pdf["lon"].to_numpy()[at], "n": total[total > 0]})
 
-    parts = _near(spots, metres, rows, found, "lat double, lon double, n long", cell_rows, max_cells, group_rows)
+    parts = _near(spots, metres, found, "lat double, lon double, n long", cell_rows, max_cells, group_rows)
     near = parts.groupBy(*PLACE).agg(F.sum("n").alias("n_near"))
-    return spots.withColumnRenamed("n", "n_here").join(near, PLACE, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return spots.table.withColumnRenamed("n", "n_here").join(near, PLACE, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
 
-def near_pairs(points: DataFrame, metres: float, **how) -> DataFrame:
+def near_pairs(points: DataFrame, metres: float, spots: Spots | None = None, **how) -> DataFrame:
     """id_a < id_b: different ids of points (id, lat, lon) with positions at most `metres` apart.
 
-    points is read several times, so it should be a checkpoint or a table."""
-    spots = checkpointed(classes(points))
-    rows = spots.count()
-    pairs = near_classes(spots, metres, rows, **how)
-    hot = hot_keys(spots, PLACE, points.count())
+    points is read several times, so it should be a checkpoint or a table. spots: Spots(points), if at hand."""
+    spots = spots or Spots(points)
+    pairs, hot = near_classes(spots, metres, **how), spots.hot()
     ids = points.select("id", *PLACE)
     a = salted_join(ids, pairs.withColumnsRenamed({"lat_a": "lat", "lon_a": "lon"}), PLACE, hot, ["id"])
     a = a.select(F.col("id").alias("id_a"), F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"))
     apart = salted_join(ids.withColumnRenamed("id", "id_b"), a, PLACE, hot, ["id_b"]).where("id_a <> id_b")
     told = apart.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    shared = ids.join(spots.where("n > 1").select(*PLACE), PLACE, "left_semi")
+    shared = ids.join(spots.table.where("n > 1").select(*PLACE), PLACE, "left_semi")
     same = salted_join(shared.withColumnRenamed("id", "id_b"), shared.withColumnRenamed("id", "id_a"), PLACE, hot, ["id_b"]).where("id_a < id_b")
     return told.unionByName(same.select("id_a", "id_b")).distinct()
 
 
-def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def containing(points: DataFrame, places: DataFrame, spots: Spots | None = None, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """id_a (of points: id, lat, lon), id_b (of places: id, outline array<struct<lat, lon>>): the point lies inside.
 
-    points is read several times, so it should be a checkpoint or a table."""
-    spots = checkpointed(classes(points))
-    rows = spots.count()
+    points and spots as in near_pairs."""
+    spots = spots or Spots(points)
 
     def flat(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         return np.stack([(lon + 180.0) % 360.0 - 180.0, lat], axis=1)
 
-    sample = _sample(spots, rows, flat)
-    splits = Splits(sample, min(max_cells, -(-rows // cell_rows)))
+    sample = flat(spots.lat, spots.lon)
+    splits = Splits(sample, min(max_cells, -(-spots.rows // cell_rows)))
     # a cell's positions are dealt to several tasks where they are many; each of them sees all of the cell's edges
-    expect = np.bincount(splits.home(sample), minlength=splits.cells) * (max(rows, len(sample)) / max(1, len(sample)))
+    expect = np.bincount(splits.home(sample), minlength=splits.cells) * spots.scale
     deals = np.maximum(1, np.ceil(expect / group_rows)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(deals)])
 
@@ -228,15 +229,14 @@ def containing(points: DataFrame, places: DataFrame, cell_rows: int = CELL_ROWS,
         p, o = inside(lat, lon, np.concatenate(each), owner, rings["pole"].to_numpy())
         return pd.DataFrame({"lat": lat[p], "lon": lon[p], "id_b": rings["id"].to_numpy()[o]})
 
-    a = spots.select(*PLACE).mapInPandas(place_spots, "lat double, lon double, part long")
+    a = spots.table.select(*PLACE).mapInPandas(place_spots, "lat double, lon double, part long")
     corners = places.where(F.col("id").isNotNull() & F.col("outline").isNotNull() & ~F.exists("outline", lambda c: c.isNull()))
     corners = corners.select("id", F.col("outline.lat").alias("la"), F.col("outline.lon").alias("lo"))
     corners = corners.where(~F.exists("la", lambda x: x.isNull()) & ~F.exists("lo", lambda x: x.isNull()))
     b = corners.mapInPandas(place_rings, "id string, part long, edges array<double>, pole boolean")
     held = a.groupBy("part").cogroup(b.groupBy("part")).applyInPandas(sweep, "lat double, lon double, id_b string")
-    hot = hot_keys(spots, PLACE, points.count())
-    found = salted_join(points.select(F.col("id").alias("id_a"), *PLACE), held, PLACE, hot, ["id_a"])
+    found = salted_join(points.select(F.col("id").alias("id_a"), *PLACE), held, PLACE, spots.hot(), ["id_a"])
     return found.select("id_a", "id_b").distinct()
 
 
-__all__ = ["classes", "containing", "near_classes", "near_counts", "near_pairs", "positions"]
+__all__ = ["Spots", "containing", "near_classes", "near_counts", "near_pairs", "positions"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.operators.nearby import classes, containing, near_counts, near_pairs, positions
-from recollect.operators.orphans import existing, orphan_keys, orphan_rows, references
+from recollect.operators.nearby import Spots, containing, near_counts, near_pairs, positions
+from recollect.operators.orphans import existing, measured, orphan_keys, orphan_rows, references
 from recollect.operators.periods import gaps, periods
 from recollect.session import checkpointed
 from recollect.sources.tables import table, video_key, video_key_sql
@@ -21,13 +21,13 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     points = checkpointed(_positions(spark, d))
     places = table(spark, d, "places").select(F.col("place_id").alias("id"), "outline")
-    return near_pairs(points, NEAR_M).unionByName(containing(points, places))
+    spots = Spots(points)
+    return near_pairs(points, NEAR_M, spots).unionByName(containing(points, places, spots))
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every position with the videos at it and those at other positions close to it."""
-    spots = checkpointed(classes(_positions(spark, d)))
-    return near_counts(spots, NEAR_M, spots.count())
+    return near_counts(Spots(_positions(spark, d)), NEAR_M)
 
 
 def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -36,12 +36,13 @@ def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     live = existing(videos.select(video_key("video_id").alias("video_id"), "loaded_at"), "video_id", "loaded_at", removals, "removed_at")
     by_video = references(frames, "frames", "id", video_key("video_id")).unionByName(references(chunks, "transcript_chunks", "id", video_key("video_id")))
     by_frame = references(vectors, "image_vec", "frame_id", F.col("frame_id"))
-    lost_v = checkpointed(orphan_keys(by_video, live))
-    lost_f = checkpointed(orphan_keys(by_frame, frames.select(F.col("id").alias("key"))))
-    # footers tell the row counts
-    rows = orphan_rows(by_video, lost_v, frames.count() + chunks.count()).unionByName(orphan_rows(by_frame, lost_f, vectors.count()))
-    names = lost_v.unionByName(lost_f.withColumn("key", F.col("key").cast("string"))).drop("n")
-    return rows, names
+    of = {"videos": (videos, "video_id"), "frames": (frames, "video_id"), "chunks": (chunks, "video_id"), "ids": (frames, "id"), "vectors": (vectors, "frame_id")}
+    n = measured({name: (df, video_key(c) if c == "video_id" else F.col(c)) for name, (df, c) in of.items()})
+    lost = orphan_keys(by_video, live, sum(n[t][0] for t in ("videos", "frames", "chunks")))
+    lost_f = orphan_keys(by_frame, frames.select(F.col("id").alias("key")), n["ids"][0] + n["vectors"][0])
+    text = lambda df: df.withColumn("key", F.col("key").cast("string"))
+    lost = lost.unionByName(text(lost_f))
+    return orphan_rows(by_video.unionByName(text(by_frame)), lost, sum(n[t][1] for t in ("frames", "chunks", "vectors"))), lost.drop("n")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

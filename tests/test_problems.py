@@ -67,8 +67,7 @@ def test_a_crowd_is_dealt_into_pairs_of_groups(spark, cells, group):
     want = near_brute(rows, 30.0)
     assert len(want) > 2000
     assert {tuple(r) for r in nearby.near_pairs(points, 30.0, cell_rows=cells, group_rows=group).collect()} == want
-    spots = nearby.classes(points)
-    got = {(r.lat, r.lon): (r.n_here, r.n_near) for r in nearby.near_counts(spots, 30.0, len(rows), cell_rows=cells, group_rows=group).collect()}
+    got = {(r.lat, r.lon): (r.n_here, r.n_near) for r in nearby.near_counts(nearby.Spots(points), 30.0, cell_rows=cells, group_rows=group).collect()}
     near = {}
     for i, j in want:
         near.setdefault(i, set()).add(j)
@@ -185,11 +184,11 @@ def test_orphans(spark):
         "src string, row_id long, ym string, key string",
     )
     parents = spark.createDataFrame([("a",), ("a",), (None,)], "key string")
-    lost = orphans.orphan_keys(refs, parents, keys_per_range=1)
+    lost = orphans.orphan_keys(refs, parents, 4, keys_per_range=1)
     assert {tuple(r) for r in lost.collect()} == {("t", "2025-01", "b", 2), ("t", "2025-02", "b", 1), ("u", None, "c", 1)}
     assert {tuple(r) for r in orphans.orphan_rows(refs, lost, 6).collect()} == {("t", 2, "2025-01"), ("t", 3, "2025-01"), ("t", 3, "2025-02"), ("u", 1, None)}
-    assert orphans.orphan_keys(refs.limit(0), parents).count() == 0
-    assert orphans.orphan_keys(refs, parents.limit(0)).count() == 4
+    assert orphans.orphan_keys(refs.limit(0), parents, 0).count() == 0
+    assert orphans.orphan_keys(refs, parents.limit(0), 4).count() == 4
 
 
 def test_references_keep_every_key_that_deliveries_name(spark):
@@ -202,11 +201,10 @@ def test_references_keep_every_key_that_deliveries_name(spark):
 def test_orphans_by_number_and_ranges_of_lost_parents(spark):
     ids = spark.range(0, 300_000, 3).select(F.col("id").alias("key"))
     refs = spark.range(299_000, 300_100).select(F.lit("x").alias("src"), F.col("id").alias("row_id"), F.lit("m").alias("ym"), F.col("id").alias("key"))
-    got = {r.key for r in orphans.orphan_keys(refs, ids, keys_per_range=50_000).collect()}
+    got = {r.key for r in orphans.orphan_keys(refs, ids, orphans.measured({"x": (ids, F.col("key"))})["x"][0], keys_per_range=50_000).collect()}
     assert got == {k for k in range(299_000, 300_100) if k % 3 or k >= 300_000}
-    # without parents the ranges follow the keys of the references
     far = refs.withColumn("key", F.col("key") * 65536)
-    lost = orphans.orphan_keys(far, ids.limit(0), keys_per_range=100)
+    lost = orphans.orphan_keys(far, ids.limit(0), 1100, keys_per_range=100)
     assert lost.count() == 1100
 
 
