@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.bitmaps import Bitmap
@@ -40,22 +40,13 @@ def _range_orphans(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"src": [], "ym": [], "key": key[:0], "n": []}, dtype=object)
 
 
-def measured(tables: dict[str, tuple[DataFrame, Column]]) -> dict[str, tuple[int, int]]:
-    """name -> (different keys, rows) of each (table, key column), the former as a sketch tells it; one pass over the keys."""
-    out = None
-    for name, (df, key) in tables.items():
-        one = df.agg(F.approx_count_distinct(key, 0.02).alias("keys"), F.count("*").alias("n")).select(F.lit(name).alias("name"), "keys", "n")
-        out = one if out is None else out.unionByName(one)
-    return {r.name: (r["keys"], r["n"]) for r in out.collect()}
-
-
-def orphan_keys(refs: DataFrame, parents: DataFrame, keys: int, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
+def orphan_keys(refs: DataFrame, parents: DataFrame, rows: int, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
     """src, ym, key, n of the references without parent: n rows of refs name that key.
 
-    refs: src string, ym string, key; parents: key, of the same type (string or long). keys: about how many different
-    keys both sides have; it sets the number of ranges."""
+    refs: src string, ym string, key; parents: key, of the same type (string or long). rows: a bound on the number of
+    different keys of both sides, such as their row counts, which file footers tell; it sets the number of ranges."""
     kind = dict(parents.dtypes)["key"]
-    n = max(1, -(-int(keys * 1.1) // keys_per_range))
+    n = max(1, -(-rows // keys_per_range))
     # whole numbers go by spans of neighbouring values, so their codes lie close; names by hash
     cut = F.pmod(F.xxhash64(F.shiftright("key", 16) if kind == "bigint" else F.col("key")), F.lit(n))
     a = refs.where(F.col("key").isNotNull()).groupBy("src", "ym", "key").agg(F.count("*").alias("n"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.operators.nearby import Spots, containing, near_counts, near_pairs, positions
-from recollect.operators.orphans import existing, measured, orphan_keys, orphan_rows, references
+from recollect.operators.orphans import existing, orphan_keys, orphan_rows, references
 from recollect.operators.periods import gaps, periods
+from recollect.operators.tables import counts
 from recollect.session import checkpointed
 from recollect.sources.tables import table, video_key, video_key_sql
 
@@ -36,13 +37,12 @@ def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     live = existing(videos.select(video_key("video_id").alias("video_id"), "loaded_at"), "video_id", "loaded_at", removals, "removed_at")
     by_video = references(frames, "frames", "id", video_key("video_id")).unionByName(references(chunks, "transcript_chunks", "id", video_key("video_id")))
     by_frame = references(vectors, "image_vec", "frame_id", F.col("frame_id"))
-    of = {"videos": (videos, "video_id"), "frames": (frames, "video_id"), "chunks": (chunks, "video_id"), "ids": (frames, "id"), "vectors": (vectors, "frame_id")}
-    n = measured({name: (df, video_key(c) if c == "video_id" else F.col(c)) for name, (df, c) in of.items()})
-    lost = orphan_keys(by_video, live, sum(n[t][0] for t in ("videos", "frames", "chunks")))
-    lost_f = orphan_keys(by_frame, frames.select(F.col("id").alias("key")), n["ids"][0] + n["vectors"][0])
+    n = {r.name: r["n"] for r in counts({"videos": videos, "frames": frames, "chunks": chunks, "vectors": vectors}).collect()}
+    lost = orphan_keys(by_video, live, n["videos"] + n["frames"] + n["chunks"])
+    lost_f = orphan_keys(by_frame, frames.select(F.col("id").alias("key")), n["frames"] + n["vectors"])
     text = lambda df: df.withColumn("key", F.col("key").cast("string"))
     lost = lost.unionByName(text(lost_f))
-    return orphan_rows(by_video.unionByName(text(by_frame)), lost, sum(n[t][1] for t in ("frames", "chunks", "vectors"))), lost.drop("n")
+    return orphan_rows(by_video.unionByName(text(by_frame)), lost, n["frames"] + n["chunks"] + n["vectors"]), lost.drop("n")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
