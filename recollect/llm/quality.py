@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,22 +76,31 @@ def strings(codes: np.ndarray) -> str:
 
 
 class Common:
+    """The frequent words, and what is known of the words met so far: bit 1 common, bit 2 hard to say."""
+
     def __init__(self, words: set[str]):
         self.words = {w for w in words if not UNSPACED.search(w)}
         self.signs = words - self.words
+        self.known: dict[str, int] = {}
+
+    def shares(self, words: list[str]) -> tuple[float, float]:
+        """The shares of common and of hard words."""
+        known = self.known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = (w in self.words) + 2 * is_hard(w)
+        kinds = bytes(map(known.__getitem__, words))
+        both, n = kinds.count(3), max(1, len(words))
+        return (kinds.count(1) + both) / n, (kinds.count(2) + both) / n
 
 
-_hard: dict[str, bool] = {}
+KEPT_WORDS = 200_000
 
 
 def is_hard(word: str) -> bool:
     """A run of Latin letters that nobody could say."""
-    known = _hard.get(word)
-    if known is None:
-        if len(_hard) > 200_000:
-            _hard.clear()
-        known = _hard[word] = len(word) > 2 and word.isascii() and bool(HARD.search(word))
-    return known
+    return len(word) > 2 and word.isascii() and bool(HARD.search(word))
 
 
 def ended(line: str) -> bool:
@@ -172,11 +180,15 @@ def spoken(item: str, n: float) -> bool:
     return n >= 5 and ended(item) and not item[:1].islower()
 
 
-def common_share(unspaced: str, words: list[str], common: Common) -> float:
-    if 2 * len(unspaced) > sum(map(len, words)):
-        # a sign is half a word or less, and fewer of the frequent ones are listed
-        return min(1.0, 2 * sum(x in common.signs for x in unspaced) / max(1, len(unspaced)))
-    return sum(w in common.words for w in words) / max(1, len(words))
+def common_signs(unspaced: str, common: Common) -> float:
+    """A sign is half a word or less, and fewer of the frequent ones are listed."""
+    return min(1.0, 2 * sum(unspaced.count(x) for x in common.signs if len(x) == 1) / max(1, len(unspaced)))
+
+
+def logged(line: str) -> bool:
+    """Two marks or more of machine output: clock times, addresses, settings, tags of a log."""
+    may = "=" in line or "/" in line or "0x" in line or line.count(":") > 1
+    return may and len(LOG.findall(line)) >= 2
 
 
 def statistics(text: str, common: Common) -> tuple:
@@ -215,7 +227,7 @@ def statistics(text: str, common: Common) -> tuple:
             kind = "prose" if spoken(x[mark.end() :].lstrip("\"'«“„"), n) else "list"
         elif bare < 0.4 * n_solid[k]:
             kind = "junk"
-        elif n_code[k] > 0.06 * len(x) or n_digits[k] and len(LOG.findall(x)) >= 2:
+        elif n_code[k] > 0.06 * len(x) or n_digits[k] and logged(x):
             kind = "junk"
         elif n_digits[k] and AMOUNT.search(x[-24:]) or n_cuts[k] >= 4 and listed(x):
             kind = "list"
@@ -243,10 +255,13 @@ def statistics(text: str, common: Common) -> tuple:
             size = np.add.reduceat(begins, edge, dtype=np.int32) + (np.add.reduceat(sign, edge, dtype=np.int32) / 2 if unspaced else 0)
             item = float((size[there] <= 4).mean())
     letters, digits = int(np.count_nonzero(letter)), int(np.count_nonzero(digit))
+    common_share, hard_share = common.shares(words)
+    if 2 * len(unspaced) > sum(map(len, words)):
+        common_share = common_signs(unspaced, common)
     return (
-        len(words), int(np.count_nonzero(run)) / max(1, len(words)), (solid - letters - digits) / solid, digits / solid, stop.count(True) / len(lines), common_share(unspaced, words, common),
+        len(words), int(np.count_nonzero(run)) / max(1, len(words)), (solid - letters - digits) / solid, digits / solid, stop.count(True) / len(lines), common_share,
         len(lines), *(share[t] / total for t in ("list", "table", "junk", "prose")),
-        fresh_share(words, unspaced), len(zlib.compress(raw, 1)) / len(raw), sum(is_hard(w) * n for w, n in Counter(words).items()) / max(1, len(words)), item,
+        fresh_share(words, unspaced), len(zlib.compress(raw, 1)) / len(raw), hard_share, item,
     )
 
 
