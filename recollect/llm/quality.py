@@ -273,16 +273,14 @@ FUNCTIONS = (
     ("letters", ("junk", None)),
     ("ends", ("prose", "list", None)),
     ("items", ("list", None)),
-    ("signs", ("junk", "table", None)),
     ("columns", ("table", None)),
     ("noise", ("junk", None)),
-    ("width", ("list", "prose", None)),
 )
 #: What is learnt: junk comes in two kinds with little in common, signs that are no text and words that say nothing.
 HIDDEN = ("prose", "list", "table", "noise", "babble")
 TYPE_OF = (0, 1, 2, 3, 3)
 #: The kinds that a function's answer junk speaks for.
-JUNK_OF = {"repeats": ("babble",), "letters": ("babble",), "common": ("babble", "noise"), "signs": ("noise",), "noise": ("noise",), "lines": ("noise",)}
+JUNK_OF = {"repeats": ("babble",), "letters": ("babble",), "common": ("babble", "noise"), "noise": ("noise",), "lines": ("noise",)}
 PATTERNS = int(np.prod([len(a) for _, a in FUNCTIONS]))
 
 
@@ -294,7 +292,6 @@ def votes(s: dict) -> list[str | None]:
     if top == "prose" and not (0.08 <= s["common_share"] <= 0.75 and s["fresh_share"] >= 0.35 and s["hard_share"] <= 0.2):
         top = None
     c, n = s["common_share"], s["n_lines"]
-    width = s["n_words"] / max(1, n)
     return [
         top if top and kinds[top] > 0.5 else None,
         "junk" if c > 0.75 or c < 0.015 else "list" if c < 0.2 else "prose" if c > 0.27 else None,
@@ -302,10 +299,8 @@ def votes(s: dict) -> list[str | None]:
         "junk" if s["hard_share"] > 0.2 or s["mean_word_length"] > 25 else None,
         "prose" if s["end_punct_share"] >= 0.6 else "list" if s["end_punct_share"] <= 0.1 and n >= 4 else None,
         "list" if s["item_share"] > 0.6 else None,
-        "junk" if s["symbol_ratio"] > 0.3 else "table" if s["digit_ratio"] > 0.2 else None,
         "table" if s["table_share"] > 0.4 else None,
         "junk" if s["junk_share"] > 0.4 else None,
-        "list" if width < 6 and n >= 4 else "prose" if width > 12 else None,
     ]
 
 
