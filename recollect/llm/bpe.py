@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEPT_WORDS = 400_000  # words kept per worker; beyond it they are forgotten and encoded anew
-BATCH_BYTES = 8_000_000  # texts whose new words are replayed together
+KEPT_PAIRS = 2_000_000  # the same of token pairs with what they make
+BATCH_CHARS = 8_000_000  # texts whose new words are replayed together
 
 
 class Vocabulary:
@@ -111,20 +112,34 @@ class Vocabulary:
         return out
 
     def one_by_one(self, word: bytes) -> list[int]:
-        """The same for one word by its definition: the leftmost pair of the lowest rank, again and again."""
-        ids = [self.single[b] for b in word]
-        while len(ids) > 1:
-            ranked = [(r, i) for i in range(len(ids) - 1) if (r := self.merged(ids[i], ids[i + 1])) >= 0]
-            if not ranked:
-                break
-            r, i = min(ranked)
-            ids[i : i + 2] = [r]
-        return ids
+        """The same for one word by its definition: the leftmost pair of the lowest rank, again and again, from a heap."""
+        token = [self.single[b] for b in word]
+        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+        merged = self.merged
+        heap = [(r, i) for i in range(len(token) - 1) if (r := merged(token[i], token[i + 1])) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if token[i] < 0 or j >= len(token) or merged(token[i], token[j]) != r:
+                continue  # another merge took one of the two
+            token[i], token[j] = r, -1
+            k = after[i] = after[j]
+            if k < len(token):
+                before[k] = i
+                if (q := merged(r, token[k])) >= 0:
+                    heapq.heappush(heap, (q, i))
+            h = before[i]
+            if h >= 0 and (q := merged(token[h], r)) >= 0:
+                heapq.heappush(heap, (q, h))
+        return [t for t in token if t >= 0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as int32."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
+        if len(self.pair) > KEPT_PAIRS:
+            self.pair.clear()
         known = self.known
         cut = [self.words(t) if t else [] for t in texts]
         fresh = list(set(chain.from_iterable(cut)) - known.keys())
@@ -144,7 +159,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
     at = size = 0
     for k, t in enumerate(texts):
         size += len(t or "")
-        if size > BATCH_BYTES or k == len(texts) - 1:
+        if size > BATCH_CHARS or k == len(texts) - 1:
             yield ids.slice(at, k + 1 - at), texts[at : k + 1]
             at, size = k + 1, 0
 
@@ -169,6 +184,47 @@ def encoded(df: DataFrame, key: str, text: str, path: str, pattern: str) -> Data
     return _read(df, key, text).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def encoded_by_corpus(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
+    """encoded() with the merge replay over the words of the whole corpus: each different word travels once, to the range
+    of its hash, the index of a range spans all its words, and texts find their words' ids by a join.
+
+    The same rows. It shuffles every word of every text, which encoded() doesn't (the README has both figures)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path, pattern)
+        for batch in batches:
+            for keys, rows, texts in zip([batch.column(0)], [batch.column(1)], [batch.column(2).to_pylist()]):
+                words = [v.words(t) if t else [None] for t in texts]  # a text without words keeps its row
+                n = np.array([len(w) for w in words], np.int64)
+                at = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), rows.take(pa.array(at)), pa.array(place), pa.array(list(chain.from_iterable(words)), pa.string())], names=["doc_id", "row", "place", "word"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path, pattern)
+        for batch in batches:
+            ids = v.replay([w.encode() for w in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    rows = _read(df, key, text).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    words = rows.mapInArrow(cut, "doc_id long, row long, place long, word string")
+    ids = words.select("word").where("word is not null").distinct().mapInArrow(replay, "word string, ids array<int>")
+    got = words.join(ids, "word", "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("w"))
+    return got.select("doc_id", F.flatten(F.filter(F.transform("w", lambda x: x["ids"]), lambda x: x.isNotNull())).alias("ids"))
+
+
+def decoded(df: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, text of doc_id, ids: the bytes that the ids stand for, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = vocabulary(path, pattern).bytes_of
+        for batch in batches:
+            texts = [b"".join(map(of.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
 def token_counts(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
     """doc_id long, n_tokens long: a row for every row of df."""
 

@@ -2,7 +2,9 @@
 
 The plan is made from the histogram of sizes, which has no more rows than the capacity: the fullest pattern of sizes
 around the largest size that is left, as often as the counts allow. Items then take planned slots by their rank among
-the items of their size. A size that a third of all items share is ranked in buckets, whose counts give the offsets.
+the items of their size. A size is ranked in as many buckets as its count asks for, and the buckets' counts, summed up
+within the size, give the offsets; so neither a size that a third of all items share nor the full parts of long items are
+one task. What the driver gets is the histogram by size.
 
 Defined cases: an item over the capacity is divided into full parts and a rest; an item of size 0 takes no room and
 goes to container 0; equal rows are items of their own; a null size counts as 0; an empty table gives an empty result.
@@ -14,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKET_ITEMS = 65_536  # items of one size that are ranked together
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -63,36 +65,37 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, i
         out.append((times, sorted(used.items())))
 
 
-def packed(items: DataFrame, capacity: int) -> DataFrame:
+def packed(items: DataFrame, capacity: int, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
     """items: doc_id, n_tokens -> doc_id, part_no (from 0), part_tokens, container_id.
 
-    items is read twice, so it should be a checkpoint or a table."""
+    items is read several times, so it should be a checkpoint or a table."""
     spark = items.sparkSession
     n = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0))
     parts = items.select("doc_id", n.alias("n")).select(
         "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity)))).alias("part_no")
     )
     parts = parts.withColumn("part_tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("part_no") * capacity))
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(BUCKETS)).cast("int"))
-    counted = parts.where("part_tokens > 0").groupBy("part_tokens", "bucket").agg(F.count("*").alias("n_items"))
-    held = counted.collect()  # at most capacity x BUCKETS rows
-    table = np.zeros((capacity + 1, BUCKETS), np.int64)
+    held = parts.where("part_tokens > 0").groupBy("part_tokens").agg(F.count("*").alias("n_items")).collect()  # at most capacity rows
+    count = np.zeros(capacity + 1, np.int64)
     for r in held:
-        table[r.part_tokens, r.bucket] = r.n_items
-    before = np.cumsum(table, axis=1) - table
+        count[r.part_tokens] = r.n_items
     slots, base = [], 1
     start: dict[int, int] = {}
-    for times, used in plan(table.sum(1), capacity):
+    for times, used in plan(count, capacity):
         for size, number in used:
             a = start.get(size, 0)
             slots.append((size, a, a + times * number, number, base))
             start[size] = a + times * number
         base += times
-    offsets = [(int(s), int(b), int(before[s, b])) for s, b in zip(*np.nonzero(table))]
-    offset = spark.createDataFrame(offsets, "part_tokens long, bucket int, before long")
-    slot = spark.createDataFrame(slots, "part_tokens long, a long, b long, per long, base long")
+    sizes = [(int(s), int(-(-count[s] // bucket_items))) for s in np.flatnonzero(count)]
+    buckets = F.broadcast(spark.createDataFrame(sizes, "part_tokens long, buckets int"))  # at most capacity rows
+    slot = spark.createDataFrame(slots, "part_tokens long, a long, b long, per long, base long")  # as the plan: bounded by the capacity
+    dealt = parts.join(buckets, "part_tokens").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), "buckets").cast("int"))
+    ahead = Window.partitionBy("part_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.groupBy("part_tokens", "bucket").agg(F.count("*").alias("n_items"))
+    offset = counted.select("part_tokens", "bucket", F.coalesce(F.sum("n_items").over(ahead), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part_tokens", "bucket").orderBy("doc_id", "part_no")) - 1
-    ranked = parts.where("part_tokens > 0").withColumn("k", rank).join(F.broadcast(offset), ["part_tokens", "bucket"])
+    ranked = dealt.select("doc_id", "part_no", "part_tokens", "bucket").withColumn("k", rank).join(offset, ["part_tokens", "bucket"])
     ranked = ranked.select("doc_id", "part_no", "part_tokens", (F.col("k") + F.col("before")).alias("r"))
     placed = ranked.join(
         F.broadcast(slot), (ranked.part_tokens == slot.part_tokens) & (ranked.r >= slot.a) & (ranked.r < slot.b)

@@ -63,10 +63,29 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that was cut, put together again from its pieces without their overlap, and whether all pieces keep the
+    limit and repeat 75 to 126 characters of the one before (about 100; a cut moves to a word or keeps marks together)."""
+    p = _pieces(spark, d).dropDuplicates(["src", "row_id", "piece_no", "start", "end", "piece"])
+    in_order = F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece")))
+    g = p.groupBy("src", "row_id").agg(in_order.alias("p"))
+    before = lambda i: F.when(i > 0, F.col("p")[i - 1]["end"]).otherwise(0)
+    text = F.array_join(F.transform("p", lambda x, i: F.substring(x["piece"], before(i) - x["start"] + 1, F.length(x["piece"]))), "")
+    fits = F.forall("p", lambda x: (F.length(x["piece"]) <= 800) & (F.length(x["piece"]) == x["end"] - x["start"]))
+    repeats = F.forall(F.transform("p", lambda x, i: (i == 0) | (before(i) - x["start"]).between(75, 126)), lambda x: x)
+    return g.select("src", "row_id", F.md5(text).alias("digest"), fits.alias("fits"), repeats.alias("repeats"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"), "doc_id", "text", *tokenizer())
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the texts that the ids of all documents stand for."""
+    back = bpe.decoded(p6_ids(spark, d), *tokenizer())
+    return back.select("doc_id", F.md5("text").alias("digest"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     counts = bpe.token_counts(table(spark, d, "documents"), "doc_id", "text", *tokenizer())
     return packing.packed(checkpointed(counts), CAPACITY)
@@ -81,6 +100,17 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents that got a place, containers over their capacity, documents divided or put into several
+    containers though they fit, and whether the containers are at most 1 % (and one) more than the tokens could fill."""
+    p = _packed(spark, d)
+    box = p.where("container_id > 0").groupBy("container_id").agg(F.sum("part_tokens").alias("used"))
+    doc = p.groupBy("doc_id").agg(F.sum("part_tokens").alias("n"), F.count("*").alias("parts"))
+    a = box.agg(F.count_if(F.col("used") > CAPACITY).alias("n_over"), (F.count("*") <= F.ceil(F.sum("used") / CAPACITY * 1.01) + 1).alias("tight"))
+    b = doc.agg(F.count("*").alias("n_documents"), F.count_if(F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY))).alias("n_divided"))
+    return a.crossJoin(b)
+
+
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     common = quality.common_words(table(spark, d, "common_words"))
     stats = quality.document_statistics(table(spark, d, "documents"), "doc_id", "text", common)
@@ -97,8 +127,8 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids,
-    "p7_found": p7_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_statistics": p8_statistics,
+    "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_packed": p7_packed, "p7_checked": p7_checked, "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
 
 _V = """
@@ -114,6 +144,10 @@ t AS (SELECT *, row_number() OVER (PARTITION BY src, id ORDER BY s DESC, other)
 SQL = {
     "p5_found": """SELECT DISTINCT src, id row_id FROM (SELECT 'memories' src, id, text FROM memories UNION ALL SELECT 'transcript_chunks', id, text FROM transcript_chunks)
 WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 800""",
+    "p5_rebuilt": """SELECT DISTINCT src, id row_id, md5(body) digest, true fits, true repeats FROM (SELECT src, id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) body
+FROM (SELECT 'memories' src, id, text FROM memories UNION ALL SELECT 'transcript_chunks', id, text FROM transcript_chunks)) WHERE length(body) > 800""",
+    "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) digest FROM documents",
+    "p7_checked": "SELECT count(DISTINCT doc_id) n_documents, CAST(0 AS BIGINT) n_over, CAST(0 AS BIGINT) n_divided, true tight FROM documents",
 }
 
 #: Quadratic and exact, where the operator may lose a little on tables of many cells (the README has its recall).

@@ -41,6 +41,33 @@ def test_replay_of_words_with_merges_of_lower_rank():
     v = bpe.Vocabulary(PATH, PATTERN)
     words = [b"abcabc", b"aaaaaaa", b"zzzz", bytes(range(256))]
     assert v.replay(words) == [v.one_by_one(w) for w in words]
+    # merges of any order, against the definition: all pairs looked at each time
+    odd = bpe.Vocabulary(PATH, PATTERN)
+    rng = np.random.default_rng(3)
+    made = {i: (i,) for i in range(4)}
+    rule = {}
+    for r in rng.permutation(np.arange(4, 40)).tolist():
+        a, b = rng.choice(sorted(made), 2).tolist()
+        rule.setdefault((a, b), r)
+        made[r] = made[a] + made[b]
+    odd.single, odd.merged = list(range(4)) * 64, lambda a, b: rule.get((a, b), -1)
+    for _ in range(300):
+        word = bytes(rng.integers(0, 4, rng.integers(1, 60)).tolist())
+        ids = list(word)
+        while any((p := [(rule.get(x, 99), i) for i, x in enumerate(zip(ids, ids[1:])) if x in rule])):
+            r, i = min(p)
+            ids[i : i + 2] = [r]
+        assert odd.one_by_one(word) == ids and odd.replay([word]) == [ids]
+
+
+def test_a_long_word_of_any_order_takes_no_square_time():
+    import time
+
+    v = bpe.Vocabulary(PATH, PATTERN)
+    word = b"abracadabra" * 5000
+    began = time.time()
+    ids = v.one_by_one(word)
+    assert time.time() - began < 3 and b"".join(map(v.bytes_of.__getitem__, ids)) == word
 
 
 def test_encoded_rows(spark, reference_encoding):
@@ -50,6 +77,11 @@ def test_encoded_rows(spark, reference_encoding):
     hello = tuple(reference_encoding.encode_ordinary("Hello there"))
     assert got == sorted([(1, hello), (2, ()), (3, ()), (1, hello), (None, tuple(reference_encoding.encode_ordinary("a")))], key=str)
     assert bpe.encoded(df.limit(0), "k", "body", PATH, PATTERN).count() == 0
+    whole = bpe.encoded_by_corpus(df, "k", "body", PATH, PATTERN)
+    assert sorted(((r.doc_id, tuple(r.ids)) for r in whole.collect()), key=str) == got
+    assert bpe.encoded_by_corpus(df.limit(0), "k", "body", PATH, PATTERN).count() == 0
+    back = bpe.decoded(bpe.encoded(df, "k", "body", PATH, PATTERN), PATH, PATTERN).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((k, t or "") for k, t, _ in rows), key=str)
     counts = {(r.doc_id, r.n_tokens) for r in bpe.token_counts(df, "k", "body", PATH, PATTERN).collect()}
     assert counts == {(a, len(b)) for a, b in got}
 
@@ -85,12 +117,13 @@ def test_plan_uses_every_item_once_and_never_overfills(seed):
     assert boxes <= 1.01 * first_fit(sizes, 100) + 1
 
 
-def test_packed(spark):
+@pytest.mark.parametrize("bucket_items", [100, 65_536])
+def test_packed(spark, bucket_items):
     rng = np.random.default_rng(9)
     rows = [(int(i), int(n)) for i, n in enumerate(rng.integers(0, 260, 2000))]
     rows += [(5000 + i, 40) for i in range(1500)] + [(7, 30), (7, 30), (9001, None), (9002, 100), (9003, 200), (None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens long").withColumn("bucket", F.lit("clash"))
-    got = packing.packed(df, 100).collect()
+    got = packing.packed(df, 100, bucket_items).collect()
     assert sum(r.part_tokens for r in got) == sum(n or 0 for _, n in rows)
     fill = {}
     for r in got:
@@ -134,6 +167,16 @@ def test_squared_successors_equal_one_walk_at_a_time():
         assert alone[0].tolist() == starts.tolist() and alone[1].tolist() == ends.tolist()
 
 
+@pytest.mark.parametrize("window", [130, 300, 1000])
+def test_windows_of_a_long_text_cut_it_the_same(window):
+    rng = np.random.default_rng(1)
+    signs = list("ab c.  \n,。、」)’é") + ["́", "‍", " " * 40, "x" * 90]
+    texts = SAMPLES + ["".join(rng.choice(signs, 900)) for _ in range(20)]
+    for text, (starts, ends) in zip(texts, splitting.ends_of(texts, 100, 20)):
+        alone = splitting.ends_of([text], 100, 20, window)[0]
+        assert alone[0].tolist() == starts.tolist() and alone[1].tolist() == ends.tolist()
+
+
 def test_cuts_at_pauses():
     (s, e), = splitting.ends_of([SAMPLES[0]], 100, 20)
     assert all(SAMPLES[0][x - 2] == "." for x in e[:-1])
@@ -270,6 +313,24 @@ def test_a_crowd_is_searched_whole_in_a_block_with_cells_of_its_own(groups):
     assert np.mean([(i, int(j)) in pairs for i in range(4000) for j in top[i]]) > 0.999
 
 
+def test_crowded_centroids_are_one_cell_up_to_a_bound():
+    rng = np.random.default_rng(4)
+    crowd = neighbours._unit(np.r_[np.ones((400, 16)) + rng.normal(size=(400, 16)) * 0.02, rng.normal(size=(100, 16))])
+    root = neighbours.tight(crowd.astype(np.float32), np.full(500, 10.0), 10_000)
+    assert len(set(root[:400].tolist())) == 1 and len(set(root[400:].tolist())) > 90
+    some = neighbours.tight(crowd.astype(np.float32), np.full(500, 10.0), 1_000)
+    assert np.bincount(some[:400]).max() <= 100 and len(set(some[:400].tolist())) == 4
+
+
+def test_centroids_are_fitted_by_tasks(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 8))
+    c, mass, sample = neighbours.fitted(table_of(spark, range(3000), v), 8, 3000, 20)
+    assert 15 <= len(c) <= 25 and len(sample) == 3000 and 2500 < mass.sum() < 3600
+    again = neighbours.fitted(table_of(spark, range(3000), v).repartition(7), 8, 3000, 20)
+    assert len(again[0]) == len(c)
+
+
 def test_a_large_block_without_pairs():
     bits = neighbours.bits_of(neighbours._unit(np.eye(64)))
     code, rest = bits[:, :64].copy().view(np.int8), bits[:, 64:].copy().view(np.uint16)
