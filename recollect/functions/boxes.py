@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,27 +19,15 @@ def overlap(a: Column, b: Column) -> Column:
     return inter / (area(a) + area(b) - inter)
 
 
-def _iou(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    w = np.maximum(0, np.minimum(box[2], boxes[:, 2]) - np.maximum(box[0], boxes[:, 0]) + 1)
-    h = np.maximum(0, np.minimum(box[3], boxes[:, 3]) - np.maximum(box[1], boxes[:, 1]) + 1)
-    area = lambda b: (b[..., 2] - b[..., 0] + 1) * (b[..., 3] - b[..., 1] + 1)
-    return w * h / (area(box) + area(boxes) - w * h)
-
-
 def nms(found: DataFrame, most: float = NMS_IOU) -> DataFrame:
-    """found: frame_id, id, conf, box -> the rows that stay: surest first, whatever overlaps a kept one by more goes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["conf", "id"], ascending=[False, True])
-        b = np.stack(p["box"].to_numpy()).astype(float)
-        kept: list[int] = []
-        for i in range(len(b)):
-            if not kept or _iou(b[i], b[kept]).max() <= most:
-                kept.append(i)
-        return p.iloc[kept]
-
-    cols = found.select("frame_id", "id", "conf", "box")
-    return cols.groupBy("frame_id").applyInPandas(run, cols.schema)
+    """found: frame_id, id, conf, box -> the rows that stay: surest first, whatever overlaps a kept one by more goes.
+
+    A frame's boxes, which are few, are one sorted array that is folded; nothing leaves the JVM."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("o"), "id", "conf", "box")))
+    g = found.groupBy("frame_id").agg(ordered.alias("b"))
+    none = F.slice("b", 1, 0)
+    kept = F.aggregate("b", none, lambda s, x: F.when(F.exists(s, lambda k: overlap(k["box"], x["box"]) > most), s).otherwise(F.concat(s, F.array(x))))
+    return g.select("frame_id", F.explode(kept).alias("x")).select("frame_id", "x.id", "x.conf", "x.box")
 
 
 def merge_detectors(first: DataFrame, second: DataFrame, most: float = 0.5) -> DataFrame:

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
-# accents of the Latin letters, letter by letter (fixed values)
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str]:
+    """Accented Latin letters and what is left of them without their marks, by Unicode's decomposition; then the marks themselves."""
+    pairs = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = unicodedata.normalize("NFD", c)[0]
+        if base != c and base.isascii():
+            pairs[c] = base
+    return "".join(pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(pairs.values())
+
+
+def folded(text: Column) -> Column:
+    """Text without the accents of Latin letters, written in one sign or two."""
+    return F.translate(text, *_folding())
 
 
 def tokens(text: Column, accents: bool = True) -> Column:
     """Runs of letters and digits in lower case; with accents=False without the accents of Latin letters."""
     low = F.lower(text)
-    return F.regexp_extract_all(low if accents else F.translate(low, ACCENTED, PLAIN), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(low if accents else folded(low), F.lit(TOKEN), F.lit(0))
 
 
 def query_words(query: str) -> list[str]:
@@ -30,6 +46,11 @@ def ascii_words(text: Column) -> Column:
     return F.split(F.lower(text), "[^a-zA-Z0-9]+")
 
 
+def search_terms(text: Column) -> Column:
+    """Every sign but ASCII letters, digits and blanks becomes a blank; what is longer than one letter stays, as written."""
+    return F.filter(F.split(F.trim(F.regexp_replace(text, r"[^a-zA-Z0-9\s]", " ")), r"\s+"), lambda w: F.length(w) > 1)
+
+
 def content_words(text: Column, stop: list[str]) -> Column:
     """Runs of a to z that aren't stop words, with repeats."""
     held = F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>")
@@ -56,6 +77,16 @@ def expanded(query: Column, concepts: dict[str, list[str]]) -> Column:
     return F.concat_ws(" ", query, *[F.when(F.contains(low, F.lit(c)), F.lit(" ".join(w))) for c, w in concepts.items()])
 
 
+def expanded_by(queries: DataFrame, query: str, concepts: DataFrame, name: str) -> DataFrame:
+    """queries with `expanded`: the query, and behind it the words of each concept of the map `name` that it contains.
+
+    concepts: map, place, concept, words (in one string). Maps are small tables written by hand: they are sent to all tasks."""
+    held = concepts.where(F.col("map") == name).agg(F.array_sort(F.collect_list(F.struct("place", "concept", "words"))).alias("_c"))
+    j = queries.crossJoin(F.broadcast(held))
+    hit = F.filter("_c", lambda c: F.contains(F.lower(F.col(query)), c["concept"]))
+    return j.withColumn("expanded", F.concat_ws(" ", F.col(query), F.array_join(F.transform(hit, lambda c: c["words"]), " "))).withColumn("expanded", F.rtrim("expanded")).drop("_c")
+
+
 def caption(objects: Column, personal: list[str], own: list[str], people: Column, place: Column, action: Column) -> Column:
     """objects: array<struct<label, conf, source>>. Personal things first, surest first, then others up to three in all,
     people, place and action; "nothing recognised" if there is nothing."""

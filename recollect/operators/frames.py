@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.streams import in_order
@@ -149,3 +149,61 @@ def frame_times(videos: DataFrame, fps: float) -> DataFrame:
     n = F.ceil(F.col("duration_s") * fps - 1e-6).cast("long")
     ok = videos.where((F.col("duration_s") > 0) & ~F.isnan("duration_s") & (n > 0))
     return ok.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i")).withColumn("t", F.col("i") / fps)
+
+
+def interval_times(videos: DataFrame, every: float) -> DataFrame:
+    """videos: video_id, duration_s -> video_id, i, t: a frame every `every` seconds with both ends.
+
+    The last one lies at the video's end if more than a fifth of the interval is left. A duration of 0 gives the frame at
+    0; a missing, NaN or negative one none."""
+    d = F.col("duration_s")
+    ok = videos.where((d >= 0) & ~F.isnan(d) & (d < float("inf")))
+    n = F.floor((d + 0.01) / every).cast("long")
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda k: k * F.lit(float(every)))
+    times = F.when(d - n * every > every * 0.2, F.concat(steps, F.array(d))).otherwise(steps)
+    return ok.select("video_id", F.posexplode(times).alias("i", "t"))
+
+
+def sharpest_spaced(frames: DataFrame, n: int) -> DataFrame:
+    """frames: video_id, frame_no, sharpness -> video_id, slot, frame_no: the sharpest frame of each of n equal slots of a video's
+    frames in order (the edges as in spaced(); an empty slot takes the frame at its edge), the first of equals."""
+    w = Window.partitionBy("video_id").orderBy("frame_no")
+    f = frames.select("video_id", "frame_no", F.coalesce("sharpness", F.lit(float("-inf"))).alias("sharpness")).withColumn("at", F.row_number().over(w) - 1)
+    s = spaced(f.groupBy("video_id").agg(F.count("*").alias("total")), n).select("video_id", "slot", "a", F.greatest("b", F.col("a") + 1).alias("b"))
+    j = f.join(s, "video_id").where((F.col("at") >= F.col("a")) & (F.col("at") < F.col("b"))).select("video_id", "slot", "frame_no", "sharpness")
+    return j.groupBy("video_id", "slot").agg(F.min_by("frame_no", F.struct(-F.col("sharpness"), "frame_no")).alias("frame_no"))
+
+
+def dedup_grid(frames: DataFrame, settings: list[dict]) -> DataFrame:
+    """frames: video_id, frame_no, brightness, sharpness, hash, v -> video_id, setting, kept, calls: for every setting (dark,
+    bright, blur, hash_max, cos_min) the frames that stay and how many of them the vectors had to be asked about.
+
+    The tuning form of the de-duplication: no slots; a frame goes if any kept hash is near enough, else if any kept
+    vector is. All settings are judged in one ordered pass over a video, each with its own kept looks."""
+
+    def start() -> list[dict]:
+        return [{"h": [], "v": [], "calls": 0, "kept": 0} for _ in settings]
+
+    def step(state: list[dict], piece: pd.DataFrame) -> None:
+        for bright, sharp, h, v in zip(piece["brightness"], piece["sharpness"], piece["hash"], piece["v"]):
+            code = None if h is None or pd.isna(h) else int(h) & 0xFFFFFFFFFFFFFFFF
+            vec = None if v is None else np.asarray(v, float)
+            for s, p in zip(state, settings):
+                if not (p["dark"] <= bright <= p["bright"]) or not sharp >= p["blur"]:
+                    continue
+                if code is not None and s["h"] and int(np.bitwise_count(np.array(s["h"], np.uint64) ^ np.uint64(code)).min()) <= p["hash_max"]:
+                    continue
+                s["calls"] += 1
+                if vec is not None and s["v"] and float((np.array(s["v"]) @ vec).max()) >= p["cos_min"]:
+                    continue
+                s["kept"] += 1
+                if code is not None:
+                    s["h"].append(code)
+                if vec is not None:
+                    s["v"].append(vec)
+
+    def finish(state: list[dict], key: tuple) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], k, s["kept"], s["calls"]) for k, s in enumerate(state)], columns=["video_id", "setting", "kept", "calls"])
+
+    cols = frames.select("video_id", "frame_no", "brightness", "sharpness", "hash", "v")
+    return in_order(cols, ["video_id"], ["frame_no"], start, step, "video_id string, setting int, kept long, calls long", finish)

@@ -165,11 +165,13 @@ def block_search(docs: DataFrame, queries: DataFrame, dim: int, k: int, query_ro
         x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
         s = np.round(x @ y.T, 6)
         s[ia[:, None] == ib[None]] = -9.0
-        order = np.lexsort((np.broadcast_to(ib, s.shape), -s), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(ia)), order.shape[1])
-        col = order.ravel()
-        keep = s[row, col] > -2.0
-        return pd.DataFrame({"query": ia[row][keep], "id": ib[col][keep], "score": s[row, col][keep]})
+        least = max(0, s.shape[1] - k)
+        kth = np.partition(s, least, axis=1)[:, least]
+        i, j = np.nonzero((s >= kth[:, None]) & (s > -2.0))  # the k best and what ties with the last of them
+        order = np.lexsort((ib[j], -s[i, j], i))
+        i, j = i[order], j[order]
+        few = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pd.DataFrame({"query": ia[i][few], "id": ib[j][few], "score": s[i, j][few]})
 
     met = q.groupBy("b", "p").cogroup(d.groupBy("b", "p")).applyInPandas(join, "query long, id long, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).cast("long")

@@ -72,3 +72,30 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
 def stamp(df: DataFrame, key: str = "id") -> DataFrame:
     """n, top: changes whenever rows were added or removed at the end."""
     return df.agg(F.count("*").alias("n"), F.coalesce(F.max(key), F.lit(0)).alias("top"))
+
+
+def by_id(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of this key, or none; the comparison reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def newest_first(df: DataFrame, at: str, key: str = "id", limit: int | None = None) -> DataFrame:
+    """All rows, or the first `limit`, by time downwards; rows without a time last, equal times by key."""
+    out = df.orderBy(F.col(at).desc_nulls_last(), key)
+    return out if limit is None else out.limit(limit)
+
+
+def exists(df: DataFrame, name: str = "there") -> DataFrame:
+    """One row, whether df has any."""
+    return df.limit(1).agg((F.count("*") > 0).alias(name))
+
+
+def delete_counted(old: DataFrame, gone: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What delete() leaves, and one row n: how many rows went."""
+    k = gone.select(*keys).distinct()
+    return old.join(k, keys, "left_anti"), old.join(k, keys, "left_semi").agg(F.count("*").alias("n"))
+
+
+def delete_all(old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The empty table, and one row n: how many rows it had."""
+    return old.limit(0), old.agg(F.count("*").alias("n"))

@@ -259,6 +259,16 @@ def x1_jobs(spark, d):
     return jobs.fold(n.select("job_id", F.explode(e).alias("e")).select("job_id", "e.*"))
 
 
+KINDS = ["enqueue", "claim", "stage", "done", "fail", "retry", "requeue", "redo"]
+
+
+def x3_job_events(spark, d):
+    """State of a job per user after events of all kinds, in whatever order they come: those that don't fit change nothing."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 8 + 1).cast("int"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.col("event_type").alias("arg"))
+    return jobs.fold(e)
+
+
 def j10_likeness(spark, d):
     """Cosines of all pairs of vectors of one label, and of two, counted by hundredths."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
@@ -319,7 +329,7 @@ def a12_window_recall(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    j10_likeness, j16_aligned, j19_families, a10_keyword_metrics, a12_window_recall, a13_last_seen_rates, a14_smoothed_f1,
+    x3_job_events, j10_likeness, j16_aligned, j19_families, a10_keyword_metrics, a12_window_recall, a13_last_seen_rates, a14_smoothed_f1,
     a7_ir_metrics, a8_ir_summary, a15_confusion, a16_rule_grid, a17_length_sweep, a17_best_length, a18_gate_sweep, a19_agreement, a20_by_language, a21_spread, a22_threshold,
     a23_mark_counts, a24_latency, a26_median_of_medians, a27_newest_per_status, a28_speaker_overlap, a30_pareto, a31_drop_reasons, a32_deltas, a33_resources, a34_same_hits,
     a35_drift, a36_paired_similarity, w15_repeats, w16_counter_rates, w12_serial_start, t6_top_then_time, t7_every_third, t8_most_chunks, u2_with_speech_and_text, u3_not_indexed,
@@ -402,6 +412,20 @@ FROM (SELECT video_id, printf('%+08.4f%+09.4f/', floor(lat * 10000) / 10000, flo
     "j16_aligned": f"""WITH a AS (SELECT DISTINCT video_id, round(t_s, 2) t FROM {_FR} WHERE kept = 1 AND video_id IS NOT NULL AND NOT isnan(t_s)), b AS (SELECT DISTINCT video_id, round(start_s, 2) t FROM {_VT} WHERE source = 'caption' AND video_id IS NOT NULL AND NOT isnan(start_s))
 SELECT coalesce(a.video_id, b.video_id) video_id, count(*) FILTER (a.t IS NOT NULL AND b.t IS NOT NULL) "both", count(*) FILTER (b.t IS NULL) only_a, count(*) FILTER (a.t IS NULL) only_b FROM a FULL JOIN b ON a.video_id = b.video_id AND a.t = b.t GROUP BY 1""",
     "j19_families": f"""SELECT video_id, CASE WHEN lang IN ('en', 'de') THEN 'germanic' WHEN lang IN ('es', 'fr') THEN 'romance' ELSE 'other' END thing, max(confidence) conf FROM {_TC} WHERE video_id IS NOT NULL AND NOT isnan(confidence) AND lang IN ('en', 'de', 'es', 'fr', 'ru', 'ur', 'zh') GROUP BY 1, 2""",
+    "a10_keyword_metrics": "WITH k AS (" + " UNION ALL ".join(
+        f"SELECT {q} query, id, rank + 1 place FROM (WITH {R._DOC}, " + R._bm25("doc", r"[\p{L}\p{N}]+", False).replace(repr(R.WORDS), repr(words)) + "SELECT id, rank FROM kl WHERE rank < 10)"
+        for q, words in ((1, ["red", "folder"]), (2, ["blue", "umbrella"]), (3, ["new", "torch"])))
+    + """), j AS (SELECT query, place, CASE WHEN query = 1 AND contains(lower(text), 'folder') OR query = 2 AND contains(lower(text), 'umbrella') OR query = 3 AND (contains(lower(text), 'kettle') OR contains(lower(text), 'torch')) THEN 1 ELSE 0 END rel FROM k JOIN documents d ON d.doc_id = k.id)
+SELECT CAST(q AS BIGINT) query, coalesce(max(CASE WHEN place <= 1 THEN rel END), 0)::DOUBLE hit1, coalesce(max(CASE WHEN place <= 3 THEN rel END), 0)::DOUBLE hit3, coalesce(max(CASE WHEN place <= 5 THEN rel END), 0)::DOUBLE hit5, round(coalesce(max(rel / place), 0), 6) mrr, round(coalesce(sum(CASE WHEN place <= 5 THEN rel END), 0) / 5.0, 6)::DOUBLE p5
+FROM range(1, 4) r(q) LEFT JOIN j ON j.query = q GROUP BY 1""",
+    "x3_job_events": """WITH RECURSIVE e AS (SELECT user_id j, event_id % 8 t, event_type a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) k, count(*) OVER (PARTITION BY user_id) n FROM events),
+f(j, k, n, st, sg, tr, er) AS (SELECT j, k, n, CASE WHEN t = 0 THEN 'queued' END, CAST(NULL AS VARCHAR), 0, CAST(NULL AS VARCHAR) FROM e WHERE k = 1
+UNION ALL SELECT f.j, e.k, e.n,
+  CASE WHEN t = 0 AND st IS NULL THEN 'queued' WHEN t = 1 AND st = 'queued' THEN 'running' WHEN t = 3 AND st = 'running' THEN 'done' WHEN t = 4 AND st = 'running' THEN CASE WHEN tr + 1 >= 3 THEN 'failed' ELSE 'queued' END
+    WHEN t = 5 AND st = 'failed' THEN 'queued' WHEN t = 6 AND st = 'running' THEN 'queued' WHEN t = 7 AND st = 'done' THEN 'queued' ELSE st END,
+  CASE WHEN t = 2 AND st = 'running' OR t = 7 AND st = 'done' THEN a ELSE sg END, CASE WHEN t = 4 AND st = 'running' THEN tr + 1 WHEN t = 5 AND st = 'failed' THEN 0 ELSE tr END,
+  CASE WHEN t = 3 AND st = 'running' OR t = 5 AND st = 'failed' THEN NULL WHEN t = 4 AND st = 'running' THEN a ELSE er END FROM f JOIN e ON f.j = e.j AND e.k = f.k + 1)
+SELECT j job_id, st status, sg stage, tr attempts, er error FROM f WHERE k = n""",
     "a13_last_seen_rates": f"SELECT count(*) n, round(avg(CASE WHEN answer IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) answered FROM ({V.SQL['j15_last_seen']})",
     "a14_smoothed_f1": f"""WITH k AS (SELECT id, unnest(list_distinct([smooth, lang])) thing, smooth, lang FROM ({V.SQL['w2_smoothed']}) JOIN (SELECT id, lang FROM {_TC}) USING (id)),
 c AS (SELECT thing, count(*) FILTER (smooth = thing AND lang IS NOT DISTINCT FROM thing) found, count(*) FILTER (smooth = thing AND lang IS DISTINCT FROM thing) wrong, count(*) FILTER (smooth IS DISTINCT FROM thing AND lang = thing) missed FROM k WHERE thing IS NOT NULL GROUP BY 1)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.plans import analytics, problems, retrieval, streams, video
+from recollect.plans import analytics, problems, retrieval, store, streams, video
 
-MODULES = [problems, retrieval, video, analytics, streams]
+MODULES = [problems, retrieval, video, analytics, store, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

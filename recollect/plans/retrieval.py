@@ -112,6 +112,12 @@ def r14_overlap_fallback(spark, d):
     return search.overlap_fallback(docs, "Zokari umbrella balcony", 20)
 
 
+def r14_nothing_shared(spark, d):
+    """The same where no document shares a word: the first ones by id."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.overlap_fallback(docs, "qqxvz wwkpf", 20)
+
+
 def r15_knn_batch(spark, d):
     """Every text vector whose id is divisible by 100 against all of them."""
     v = newest(table(spark, d, "text_vec"), ["text_id"], "loaded_at").select(F.col("text_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -140,7 +146,7 @@ def f2_token_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     r1_dense_topk, r2_dense_newest_first, r3_bm25_topk, r4_prefix_docid, r5_expanded, r6_bm25_plus_topk, r7_hybrid_common_first, r8_hybrid_rrf_sum,
-    r9_rrf_eval, r10_attributed, r12_reranked, r13_overlap_rescored, r14_overlap_fallback, r15_knn_batch, r16_all_scores, r24_prompt, f2_token_counts)}
+    r9_rrf_eval, r10_attributed, r12_reranked, r13_overlap_rescored, r14_overlap_fallback, r14_nothing_shared, r15_knn_batch, r16_all_scores, r24_prompt, f2_token_counts)}
 
 _M = """
 m AS (SELECT id, text, saved_at, CASE WHEN len(v) = 96 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 THEN v END v FROM (
@@ -206,6 +212,7 @@ SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 rank, 'reranked' match, r
 + 0.45 * len(list_intersect({_ASK!r}, regexp_split_to_array(lower(coalesce(text, '')), '[^a-zA-Z0-9]+'))) / {len(_ASK)}.0)), 6) score FROM f JOIN m USING (id) WHERE f.rank < 20""",
     "r14_overlap_fallback": """SELECT * FROM (SELECT id, overlap, row_number() OVER (ORDER BY overlap DESC, id) - 1 rank FROM (
 SELECT doc_id id, len(list_intersect(['zokari', 'umbrella', 'balcony'], regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'))) overlap FROM documents) WHERE overlap > 0) WHERE rank < 20""",
+    "r14_nothing_shared": "SELECT doc_id id, CAST(0 AS BIGINT) overlap, row_number() OVER (ORDER BY doc_id) - 1 rank FROM documents QUALIFY rank < 20",
     "r15_knn_batch": f"""WITH t AS (SELECT text_id id, CAST(embedding AS DOUBLE[]) v FROM text_vec QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY loaded_at DESC) = 1),
 u AS (SELECT * FROM t WHERE len(v) = 96 AND len({_V}) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)
 SELECT a.id query, b.id, round(list_cosine_similarity(a.v, b.v), 6) score, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) place

@@ -66,6 +66,9 @@ QUERIES = {f.__name__: f for f in (x12_windows, x12_sessions, x8_index, x8_whole
 SQL = {
     "x1_job_stream": analytics.SQL["x1_jobs"],
     "x12_windows": "SELECT epoch_us(time_bucket(INTERVAL '15 minutes', ts)) start_us, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2",
+    "x6_ledger": video.SQL["w7_relinked"],
+    "x12_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) no FROM e) SELECT epoch_us(min(ts)) start_us, user_id, count(*) n FROM g GROUP BY user_id, no""",
     "x8_index": r"""SELECT term, count(DISTINCT doc_id) df, CAST(count(*) AS BIGINT) tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20""",
     "x8_whole_index": r"""SELECT term, count(DISTINCT doc_id) df, CAST(count(*) AS BIGINT) tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
     "x10_first_deliveries": "SELECT id, source_type FROM memories QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1",

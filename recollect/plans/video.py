@@ -374,6 +374,36 @@ ASOF LEFT JOIN (SELECT DISTINCT video_id, t_s FROM {_FR} WHERE video_id IS NOT N
 t AS (SELECT video_id, slot, max_by(frame_no, s * 1e9 - frame_no) best FROM m WHERE b >= 25 AND b <= 235 GROUP BY 1, 2)
 SELECT id, m.video_id, frame_no, m.slot, CASE WHEN b < 25 THEN 'dark' WHEN b > 235 THEN 'bright' WHEN frame_no = best THEN CASE WHEN s < 60 THEN 'blurry' END ELSE 'less sharp' END reason
 FROM m LEFT JOIN t ON m.video_id = t.video_id AND m.slot = t.slot""",
+    "s23_served": f"""WITH u AS (SELECT video_id g, start_s k, start_s - 1e-3 o, 0 side FROM {_TC} WHERE video_id IS NOT NULL AND NOT isnan(start_s) UNION ALL SELECT video_id, t_s, t_s, 1 FROM {_FR} WHERE video_id IS NOT NULL AND NOT isnan(t_s)),
+s AS (SELECT *, sum(1 - 2 * side) OVER w total FROM u WINDOW w AS (PARTITION BY g ORDER BY o, side, k ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY g ORDER BY o, side, k ROWS UNBOUNDED PRECEDING)) q FROM s), v AS (SELECT *, lag(q) OVER (PARTITION BY g ORDER BY o, side, k) > 0 serves FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY g, side ORDER BY o, k) n FROM v WHERE side = 0 OR serves)
+SELECT a.g grp, a.k AS at, b.k found FROM n a JOIN n b ON a.g = b.g AND a.n = b.n AND a.side = 0 AND b.side = 1""",
+    "w9_motion_paced": f"""WITH RECURSIVE h AS (SELECT video_id, CAST(frame_no AS BIGINT) frame_no, coalesce(bit_count(xor(h, lag(h) OVER (PARTITION BY video_id ORDER BY frame_no, id))), 0)::DOUBLE m, coalesce(CAST(((h % 1009) + 1009) % 1009 AS DOUBLE), 0) s,
+  row_number() OVER (PARTITION BY video_id ORDER BY frame_no) k, count(*) OVER (PARTITION BY video_id) c FROM {_HASH}),
+r(video_id, k, c, moved, n, s, no, seg, done) AS (SELECT video_id, k, c, m, 1, s, frame_no, CAST(0 AS BIGINT), m >= 100 FROM h WHERE k = 1
+UNION ALL SELECT r.video_id, h.k, h.c, CASE WHEN done THEN 0 ELSE moved END + m, CASE WHEN done THEN 0 ELSE n END + 1, CASE WHEN done OR h.s > r.s THEN h.s ELSE r.s END, CASE WHEN done OR h.s > r.s THEN frame_no ELSE no END,
+  seg + CASE WHEN done THEN 1 ELSE 0 END, CASE WHEN done THEN 0 ELSE moved END + m >= 100 OR CASE WHEN done THEN 0 ELSE n END + 1 >= 12 FROM r JOIN h ON h.video_id = r.video_id AND h.k = r.k + 1)
+SELECT video_id, no frame_no, seg segment FROM r WHERE done OR k = c""",
+    "w5_dedup": f"""WITH RECURSIVE h AS (SELECT video_id, CAST(frame_no AS BIGINT) no, h, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v, row_number() OVER (PARTITION BY video_id ORDER BY frame_no, id) k
+  FROM {_HASH} f LEFT JOIN {_vec('image_vec', 'frame_id', 128)} i USING (id) WHERE kept = 1),
+r(video_id, k, no, of, looks) AS (SELECT video_id, k, no, CAST(NULL AS BIGINT), [{{'no': no, 'h': h, 'v': v}}] FROM h WHERE k = 1
+UNION ALL SELECT video_id, k, no, of, CASE WHEN of IS NULL THEN list_append(looks, {{'no': no, 'h': h, 'v': v}}) ELSE looks END FROM (
+  SELECT *, CASE WHEN list_min(d) <= 6 THEN looks[list_position(d, list_min(d))].no WHEN list_max(c) >= 0.95 THEN looks[list_position(c, list_max(c))].no END AS of FROM (
+    SELECT r.video_id, x.k, x.no, x.h, x.v, looks, list_transform(looks, lambda z: CASE WHEN z.h IS NULL OR x.h IS NULL THEN 99 ELSE bit_count(xor(z.h, x.h)) END) d,
+      list_transform(looks, lambda z: CASE WHEN z.v IS NULL OR x.v IS NULL THEN -9 ELSE list_dot_product(z.v, x.v) END) c FROM r JOIN h x ON x.video_id = r.video_id AND x.k = r.k + 1)))
+SELECT video_id, no frame_no, of duplicate_of FROM r""",
+    "w7_relinked": f"""WITH RECURSIVE s AS (SELECT e.*, v.user_id f, row_number() OVER (PARTITION BY label ORDER BY seen_at, id) k FROM {_SIGHT} e JOIN events v ON v.event_id = e.id),
+r(label, k, was, id, open) AS (SELECT label, k, CAST(NULL AS BIGINT), id, [{{'id': id, 'f': f, 'v': v}}] FROM s WHERE k = 1
+UNION ALL SELECT label, k, CASE WHEN most >= 0.25 THEN open[p].id END, id, list_append(CASE WHEN most >= 0.25 THEN list_filter(open, lambda z, i: i <> p) ELSE open END, {{'id': id, 'f': f, 'v': v}})
+FROM (SELECT *, list_max(c) most, list_position(c, list_max(c)) p FROM (SELECT r.label, s.k, s.id, s.f, s.v, r.open, list_transform(open, lambda z: CASE WHEN z.f = s.f THEN -9 ELSE list_dot_product(z.v, s.v) END) c FROM r JOIN s ON s.label = r.label AND s.k = r.k + 1)))
+SELECT was id, 0 is_latest, id superseded_by FROM r WHERE was IS NOT NULL UNION ALL SELECT unnest(open).id, 1, NULL FROM (SELECT open FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC) = 1)""",
+    "f9_captions": f"""WITH per AS (SELECT video_id, speaker, coalesce(lang, '') lang, max(confidence) conf FROM {_TC} WHERE video_id IS NOT NULL AND speaker IS NOT NULL AND confidence IS NOT NULL GROUP BY 1, 2, lang),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY conf DESC, speaker, lang) rk FROM per),
+f AS (SELECT *, speaker = 'S2' OR lang = 'de' p FROM o QUALIFY row_number() OVER (PARTITION BY video_id, speaker ORDER BY rk) = 1),
+g AS (SELECT *, count(*) FILTER (p) OVER (PARTITION BY video_id) n_mine, row_number() OVER (PARTITION BY video_id, p ORDER BY rk) pr, count(*) OVER (PARTITION BY video_id) people FROM f),
+l AS (SELECT video_id, any_value(people) people, list(speaker ORDER BY NOT p, rk) x FROM g WHERE p OR pr <= 3 - n_mine GROUP BY 1)
+SELECT video_id, CASE WHEN len(x) <= 2 THEN array_to_string(x, ' and ') ELSE array_to_string(x[:-2], ', ') || ' and ' || x[-1] END || ', ' || CASE WHEN people = 1 THEN '1 person' ELSE people || ' people' END || ', inside a car' caption FROM l""",
     "w11_spaced": f"""SELECT video_id, total, CAST(slot AS INT) slot, a, b, CAST(least(total - 1, floor((a + b) / 2)) AS BIGINT) middle FROM (SELECT video_id, total, slot, CAST(round_even(slot * total / 7.0, 0) AS BIGINT) a, CAST(round_even((slot + 1) * total / 7.0, 0) AS BIGINT) b
 FROM (SELECT video_id, count(*) total FROM {_FR} WHERE video_id IS NOT NULL GROUP BY 1), range(0, 7) r(slot))""",
     "w11_uniform": f"SELECT video_id, CAST(i AS INT) i, round((i + 0.5) * duration_s / 5, 6) t FROM {_VID}, range(0, 5) r(i) WHERE duration_s > 0 AND NOT isnan(duration_s)",
