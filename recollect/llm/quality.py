@@ -29,6 +29,7 @@ WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 STOPS, CLOSERS = ".!?…。！？؟۔।", "\"')]»”’」』）"
 MARKER = regex.compile(r"^\s*(?:[-*•·◦‣▪–—+>]\s+|\(?\d{1,3}[.):]\s+|#\d+\s|\(?[a-zA-Z][.)]\s+|\[[ xX]?\]\s*|[☐☑☒✓✔✗□■]\s*)")
+MARKS = frozenset("-*•·◦‣▪–—+>(#[☐☑☒✓✔✗□■")  # signs that MARKER can begin with
 NUMBER = regex.compile(r"^[-+]?[\d.,:%]+$|^$")
 LOG = regex.compile(r"\b\d{1,2}:\d{2}:\d{2}\b|0x[0-9a-fA-F]{4,}|\b[A-Za-z_]+=\S+|\b[VDIWEF]/\w+")
 HARD = regex.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|^[bcdfghjklmnpqrstvwxz]{3,}$", regex.I)
@@ -104,8 +105,17 @@ def is_hard(word: str) -> bool:
 
 
 def ended(line: str) -> bool:
-    """Whether a sentence ends with the line."""
-    return line.rstrip().rstrip(CLOSERS)[-1:] in STOPS if line.strip() else False
+    """Whether a sentence ends with the line. line: without white space at its ends, not empty."""
+    return line.rstrip(CLOSERS)[-1:] in STOPS
+
+
+def marked(line: str):
+    """The match of a list's marker at the line's start, or None; line as written, its first signs tell most others."""
+    head = line.lstrip()[:2]
+    c = head[:1]
+    if c in MARKS or c.isdigit() or head[1:] in (".", ")") and c.isascii() and c.isalpha():
+        return MARKER.match(line)
+    return None
 
 
 def fields(line: str, d: str) -> list[str]:
@@ -115,7 +125,7 @@ def fields(line: str, d: str) -> list[str]:
     return [x.strip() for x in line.strip("|" if d == "|" else "").split(d)]
 
 
-def table_rows(lines: list[str], digits: np.ndarray, words: np.ndarray, text: str) -> list[bool]:
+def table_rows(lines: list[str], digits: list[int], words: list[int], text: str) -> list[bool]:
     """Which lines are rows of a table: neighbours with the same number of fields, short ones or many of them numbers.
 
     digits, words: how many each line has."""
@@ -128,7 +138,7 @@ def table_rows(lines: list[str], digits: np.ndarray, words: np.ndarray, text: st
         size = [len(c) for c in cut]
         if d == "  " and sum(size) > 12 * len(lines):  # words set wide, not columns
             continue
-        ok = [n >= least and (w <= 2.5 * n or sum(bool(NUMBER.match(v)) for v in c) >= 0.4 * n) for n, w, c in zip(size, words.tolist(), cut)]
+        ok = [n >= least and (w <= 2.5 * n or sum(bool(NUMBER.match(v)) for v in c) >= 0.4 * n) for n, w, c in zip(size, words, cut)]
         for k in range(len(lines)):
             if ok[k] and any(0 <= j < len(lines) and ok[j] and max(size[j], size[k]) >= 3 and abs(size[j] - size[k]) <= loose for j in (k - 1, k + 1)):
                 best[k] = True
@@ -149,15 +159,19 @@ def fresh_share(words: list[str], unspaced: str) -> float:
     return (len({units[k : k + n] for k in range(runs)}) if units is unspaced else len(set(zip(*(units[k:] for k in range(n)))))) / runs
 
 
-def wrapped_at_margin(lines: list[str]) -> bool:
-    """Lines that were broken because the next word, or sign, didn't fit."""
+def wrapped_at_margin(lines: list[str], bare: list[str]) -> bool:
+    """Lines that were broken because the next word, or sign, didn't fit. bare: the same without white space at the ends."""
     if len(lines) < 3:
         return False
-    width = max(len(x.rstrip()) for x in lines)
-    full = 0
-    for x, y in zip(lines, lines[1:]):
-        head = 1 if UNSPACED.match(y.strip()) else len(y.split(maxsplit=1)[0])
-        full += len(x.rstrip()) + 1 + head > width - 2
+    size = [len(x.rstrip()) for x in lines]
+    width = max(size)
+    full = len(lines) - 1
+    for n, y in zip(size, bare[1:]):
+        head = 1 if y[0] >= "\u0e00" and UNSPACED.match(y) else len(y.split(maxsplit=1)[0])
+        if n + 1 + head <= width - 2:
+            full -= 1
+            if full < 0.8 * (len(lines) - 1):
+                return False
     return full >= 0.8 * (len(lines) - 1)
 
 
@@ -177,7 +191,7 @@ def listed(line: str) -> bool:
 
 def spoken(item: str, n: float) -> bool:
     """A line of talk behind a dash: a whole sentence, and not in small letters."""
-    return n >= 5 and ended(item) and not item[:1].islower()
+    return n >= 5 and bool(item.strip()) and ended(item.strip()) and not item[:1].islower()
 
 
 def common_signs(unspaced: str, common: Common) -> float:
@@ -207,20 +221,22 @@ def statistics(text: str, common: Common) -> tuple:
     unspaced = strings(codes[sign]) if sign.any() else ""
     all_lines = text.splitlines(keepends=True)
     starts = np.cumsum([0, *map(len, all_lines[:-1])])
-    full = np.array([bool(x.strip()) for x in all_lines])
-    lines = [x for x, f in zip(all_lines, full) if f]
+    stripped = [x.strip() for x in all_lines]
+    full = np.array(list(map(bool, stripped)))
+    lines = [x for x, f in zip(all_lines, stripped) if f]
+    trimmed = list(filter(None, stripped))
     per_line = np.add.reduceat(np.stack([begins, sign, letter, digit, ~space, code, cut]), starts, axis=1, dtype=np.int32)[:, full]
-    n_words, n_signs, n_letters, n_digits, n_solid, n_code, n_cuts = per_line
-    weight = [len(x.strip()) for x in lines]
+    n_words, n_signs, n_letters, n_digits, n_solid, n_code, n_cuts = per_line.tolist()
+    weight = list(map(len, trimmed))
     total = sum(weight)
-    stop = [ended(x) for x in lines]
+    stop = list(map(ended, trimmed))
     rows = table_rows(lines, n_digits, n_words, text)
     share = dict.fromkeys(TYPES, 0)
-    wrapped = wrapped_at_margin(lines)
+    wrapped = wrapped_at_margin(lines, trimmed)
     plain = len(lines) >= 4 and not wrapped and stop.count(False) > 0.8 * len(lines)
     for k, (x, w) in enumerate(zip(lines, weight)):
         n, bare = n_words[k] + n_signs[k] / 2, n_letters[k]
-        mark = MARKER.match(x)
+        mark = marked(x)
         if rows[k]:
             kind = "table"
         elif mark and bare:
@@ -231,7 +247,7 @@ def statistics(text: str, common: Common) -> tuple:
             kind = "junk"
         elif n_digits[k] and AMOUNT.search(x[-24:]) or n_cuts[k] >= 4 and listed(x):
             kind = "list"
-        elif n > 4 and ":" in x and SPEAKER.match(x) and not x.strip()[:1].islower():
+        elif n > 4 and ":" in x and SPEAKER.match(x) and not trimmed[k][:1].islower():
             kind = "prose"
         elif n <= 5 and not stop[k] and len(lines) > 2 and not wrapped:
             kind = "list"
