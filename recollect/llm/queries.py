@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,22 +33,22 @@ def _vectors(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, int, int
     ]
 
 
+def _of_all(spark: SparkSession, d: str, made) -> DataFrame:
+    """made(vectors, dim, rows) of the three tables, one under the other with src; their preparing jobs run side by side."""
+    known = _vectors(spark, d)
+    with ThreadPoolExecutor(len(known)) as pool:
+        parts = list(pool.map(lambda x: made(*x[1:]).withColumn("src", F.lit(x[0])), known))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for src, v, dim, rows in _vectors(spark, d):
-        best = neighbours.most_similar(v, dim, rows, 5, LIKE)
-        one = neighbours.pairs_found(best).select(F.lit(src).alias("src"), "id_a", "id_b")
-        out = one if out is None else out.unionByName(one)
-    return out
+    pairs = _of_all(spark, d, lambda v, dim, rows: neighbours.pairs_found(neighbours.most_similar(v, dim, rows, 5, LIKE)))
+    return pairs.select("src", "id_a", "id_b")
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar others of every row, however alike."""
-    out = None
-    for src, v, dim, rows in _vectors(spark, d):
-        one = neighbours.most_similar(v, dim, rows, 5).withColumn("src", F.lit(src))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _of_all(spark, d, lambda v, dim, rows: neighbours.most_similar(v, dim, rows, 5))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
