@@ -31,7 +31,8 @@ def norm(a: Column) -> Column:
 def normalized(a: Column) -> Column:
     """Length 1; an all-zero vector stays as it is."""
     n = norm(a)
-    return F.when(n > 0, F.transform(doubles(a), lambda x: x / n)).otherwise(doubles(a))
+    by = F.array_repeat(n, F.size(a))  # the norm inside a lambda would be worked out again for every component
+    return F.when(n > 0, F.zip_with(doubles(a), by, lambda x, m: x / m)).otherwise(doubles(a))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -174,36 +174,159 @@ def sharpest_spaced(frames: DataFrame, n: int) -> DataFrame:
     return j.groupBy("video_id", "slot").agg(F.min_by("frame_no", F.struct(-F.col("sharpness"), "frame_no")).alias("frame_no"))
 
 
+class _Rules:
+    """Up to 64 settings as the bits of a word."""
+
+    def __init__(self, settings: list[dict]):
+        one = lambda on: sum(1 << k for k, p in enumerate(settings) if on(p))
+        self.settings, self.places = settings, np.arange(len(settings), dtype=np.uint64)
+        self.near = np.array([one(lambda p: d <= p["hash_max"]) for d in range(65)], np.uint64)  # settings that d differing bits satisfy
+        self.wide, self.top = self.near[1], max(p["hash_max"] for p in settings)
+        self.least = min(p["cos_min"] for p in settings)
+        self.levels = [(c, np.uint64(one(lambda p: p["cos_min"] <= c))) for c in sorted({p["cos_min"] for p in settings})]
+
+    def alike(self, s: np.ndarray) -> np.ndarray:
+        """The settings that each cosine satisfies."""
+        out = np.zeros(s.shape, np.uint64)
+        for c, some in self.levels:
+            out[s >= c] = some
+        return out
+
+    def fine(self, bright: np.ndarray, sharp: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(bright), np.uint64)
+        for k, p in enumerate(self.settings):
+            out |= ((bright >= p["dark"]) & (bright <= p["bright"]) & (sharp >= p["blur"])).astype(np.uint64) << np.uint64(k)
+        return out
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        return ((words[:, None] >> self.places) & np.uint64(1)).sum(0, dtype=np.int64)
+
+
+class _Looks:
+    """Kept looks of a video under up to 64 settings at once: each with the settings that keep it as the bits of a word.
+
+    Frames come in blocks: one matrix step asks all looks kept before, then the block goes frame by frame over what is near
+    within it. Equal hashes are looked up; only settings that allow differing bits compare hashes at all."""
+
+    ROWS, COLUMNS, TILE = 256, 4096, 16  # frames of a block; of those TILE at once against so many looks, which the cache holds
+
+    def __init__(self, rules: _Rules):
+        self.rules = rules
+        self.equal: dict[int, int] = {}
+        self.codes, self.codes_of = np.zeros(64, np.uint64), np.zeros(64, np.uint64)
+        self.vectors, self.vectors_of = None, np.zeros(64, np.uint64)
+        self.n, self.m = 0, 0
+        self.bits, self.d = np.empty((self.TILE, self.COLUMNS), np.uint64), np.empty((self.TILE, self.COLUMNS), np.uint8)
+        self.kept, self.calls = np.zeros(len(rules.settings), np.int64), np.zeros(len(rules.settings), np.int64)
+
+    def _near(self, x: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The settings with a kept hash near each of x, of those that it needs to know about."""
+        out = np.array([self.equal.get(c, 0) for c in x.tolist()], np.uint64) & self.rules.near[0]
+        for a in range(0, self.n, self.COLUMNS):
+            rows = np.flatnonzero(need & self.rules.wide & ~out)
+            if not len(rows):
+                break
+            some, of = self.codes[a : min(self.n, a + self.COLUMNS)], self.codes_of[a : min(self.n, a + self.COLUMNS)]
+            for b in range(0, len(rows), self.TILE):
+                at = rows[b : b + self.TILE]
+                bits, d = self.bits[: len(at), : len(some)], self.d[: len(at), : len(some)]
+                np.bitwise_count(np.bitwise_xor(x[at, None], some, out=bits), out=d)
+                if d.min() <= self.rules.top:
+                    hit = d.min(1) <= self.rules.top
+                    out[at[hit]] |= np.bitwise_or.reduce(self.rules.near[d[hit]] & of, axis=1)
+        return out
+
+    def _alike(self, x: np.ndarray, need: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.uint64)
+        for a in range(0, self.m, self.COLUMNS):
+            rows = np.flatnonzero(need & ~out)
+            if not len(rows):
+                break
+            s = x[rows] @ self.vectors[a : min(self.m, a + self.COLUMNS)].T
+            some = (s >= self.rules.least).any(1)
+            if some.any():
+                out[rows[some]] |= np.bitwise_or.reduce(self.rules.alike(s[some]) & self.vectors_of[a : a + s.shape[1]], axis=1)
+        return out
+
+    def add(self, bright: np.ndarray, sharp: np.ndarray, code: np.ndarray, coded: np.ndarray, vectors: np.ndarray) -> None:
+        """Frames in order; coded: whether there is a hash; vectors: an object each, None if missing."""
+        fine = self.rules.fine(bright, sharp)
+        rows = np.flatnonzero(fine)
+        for a in range(0, len(rows), self.ROWS):
+            at = rows[a : a + self.ROWS]
+            self._block(fine[at], code[at], coded[at], vectors[at])
+
+    def _block(self, fine: np.ndarray, code: np.ndarray, coded: np.ndarray, vectors: np.ndarray) -> None:
+        n = len(fine)
+        before = np.arange(n)[:, None] > np.arange(n)
+        near = np.zeros(n, np.uint64)
+        near[coded] = self._near(code[coded], fine[coded])
+        d = np.bitwise_count(code[:, None] ^ code)
+        close = (d <= self.rules.top) & before & coded & coded[:, None]
+        some_close = close.any(1)
+        with_v = np.array([v is not None for v in vectors], bool)
+        place = np.cumsum(with_v) - 1
+        alike, some_alike = np.zeros(n, np.uint64), np.zeros(n, bool)
+        if with_v.any():
+            x = np.array([np.asarray(v, float) for v in vectors[with_v]])
+            alike[with_v] = self._alike(x, (fine & ~near)[with_v])
+            s = x @ x.T
+            some_alike[with_v] = ((s >= self.rules.least) & before[: len(x), : len(x)]).any(1)
+        asked, kept = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for i in range(n):
+            near_i = near[i]
+            if some_close[i]:
+                j = np.flatnonzero(close[i])
+                near_i |= np.bitwise_or.reduce(self.rules.near[d[i, j]] & kept[j])
+            asked[i] = fine[i] & ~near_i
+            alike_i = alike[i]
+            if some_alike[i] and asked[i]:
+                alike_i |= np.bitwise_or.reduce(self.rules.alike(s[place[i], : place[i]]) & kept[:i][with_v[:i]])
+            kept[i] = asked[i] & ~alike_i
+        self.calls += self.rules.count(asked)
+        self.kept += self.rules.count(kept)
+        for c, b in zip(code[coded].tolist(), kept[coded].tolist()):
+            if b:
+                self.equal[c] = self.equal.get(c, 0) | b
+        new = coded & ((kept & self.rules.wide) > 0)
+        self.codes, self.codes_of, self.n = self._put(self.codes, self.codes_of, self.n, code[new], kept[new] & self.rules.wide)
+        if with_v.any():
+            if self.vectors is None:
+                self.vectors = np.zeros((64, x.shape[1]))
+            new = kept[with_v] > 0
+            self.vectors, self.vectors_of, self.m = self._put(self.vectors, self.vectors_of, self.m, x[new], kept[with_v][new])
+
+    @staticmethod
+    def _put(have: np.ndarray, of: np.ndarray, n: int, new: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        while n + len(new) > len(have):
+            have, of = np.concatenate([have, np.zeros_like(have)]), np.concatenate([of, np.zeros_like(of)])
+        have[n : n + len(new)], of[n : n + len(new)] = new, bits
+        return have, of, n + len(new)
+
+
 def dedup_grid(frames: DataFrame, settings: list[dict]) -> DataFrame:
     """frames: video_id, frame_no, brightness, sharpness, hash, v -> video_id, setting, kept, calls: for every setting (dark,
     bright, blur, hash_max, cos_min) the frames that stay and how many of them the vectors had to be asked about.
 
     The tuning form of the de-duplication: no slots; a frame goes if any kept hash is near enough, else if any kept
-    vector is. All settings are judged in one ordered pass over a video, each with its own kept looks."""
+    vector is. All settings are judged in one ordered pass over a video, each with its own kept looks; a look that several
+    settings keep is held and compared once."""
 
-    def start() -> list[dict]:
-        return [{"h": [], "v": [], "calls": 0, "kept": 0} for _ in settings]
+    rules = [_Rules(settings[a : a + 64]) for a in range(0, len(settings), 64)]
 
-    def step(state: list[dict], piece: pd.DataFrame) -> None:
-        for bright, sharp, h, v in zip(piece["brightness"], piece["sharpness"], piece["hash"], piece["v"]):
-            code = None if h is None or pd.isna(h) else int(h) & 0xFFFFFFFFFFFFFFFF
-            vec = None if v is None else np.asarray(v, float)
-            for s, p in zip(state, settings):
-                if not (p["dark"] <= bright <= p["bright"]) or not sharp >= p["blur"]:
-                    continue
-                if code is not None and s["h"] and int(np.bitwise_count(np.array(s["h"], np.uint64) ^ np.uint64(code)).min()) <= p["hash_max"]:
-                    continue
-                s["calls"] += 1
-                if vec is not None and s["v"] and float((np.array(s["v"]) @ vec).max()) >= p["cos_min"]:
-                    continue
-                s["kept"] += 1
-                if code is not None:
-                    s["h"].append(code)
-                if vec is not None:
-                    s["v"].append(vec)
+    def start() -> list[_Looks]:
+        return [_Looks(r) for r in rules]
+
+    def step(state: list[_Looks], piece: pd.DataFrame) -> None:
+        bright, sharp = (piece[c].to_numpy(np.float64, na_value=np.nan) for c in ("brightness", "sharpness"))
+        code = piece["hash"].to_numpy(np.int64).view(np.uint64)
+        for looks in state:
+            looks.add(bright, sharp, code, piece["coded"].to_numpy(bool), piece["v"].to_numpy())
 
-    def finish(state: list[dict], key: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], k, s["kept"], s["calls"]) for k, s in enumerate(state)], columns=["video_id", "setting", "kept", "calls"])
+    def finish(state: list[_Looks], key: tuple) -> pd.DataFrame:
+        kept, calls = (np.concatenate([getattr(x, c) for x in state]) for c in ("kept", "calls"))
+        return pd.DataFrame({"video_id": key[0], "setting": np.arange(len(settings), dtype=np.int32), "kept": kept, "calls": calls})
 
-    cols = frames.select("video_id", "frame_no", "brightness", "sharpness", "hash", "v")
-    return in_order(cols, ["video_id"], ["frame_no"], start, step, "video_id string, setting int, kept long, calls long", finish)
+    # a missing hash as 0 beside a flag: 64 bits don't survive a column of numbers with gaps
+    cols = frames.select("video_id", "frame_no", "brightness", "sharpness", F.coalesce("hash", F.lit(0).cast("long")).alias("hash"), F.col("hash").isNotNull().alias("coded"), "v")
+    return in_order(cols, ["video_id"], ["frame_no"], start, step, "video_id string, setting int, kept long, calls long", finish, gather=10_000)

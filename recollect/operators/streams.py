@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def in_order(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
-    """start() makes the state of a group; step(state, piece) gives rows; finish(state, keys) gives the last ones."""
+def in_order(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable, schema: str, finish: Callable | None = None, gather: int = 0) -> DataFrame:
+    """start() makes the state of a group; step(state, piece) gives rows; finish(state, keys) gives the last ones.
+
+    gather: rows to put together before they are handed on, where many groups give a few each; their columns must then be
+    of the same kinds each time."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, at = None, None
@@ -35,6 +38,17 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], start: Callable[[
         if at is not None and finish is not None and (out := finish(state, at)) is not None and len(out):
             yield out
 
+    def gathered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for out in run(parts):
+            held.append(out)
+            n += len(out)
+            if n >= gather:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
     # by a new column: a planner that takes the input for already parted by the keys (as it may a union) can't leave this out
     dealt = df.withColumn("_deal", F.xxhash64(*keys)).repartition("_deal").sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(gathered if gather else run, schema)
