@@ -7,9 +7,9 @@ travels as int8 codes and the 16 bits that complete each component to 24, so fou
 In a block, products of int8 tiles tell every cosine up to a proven quantisation error; only pairs that could still be
 among a row's k best (and reach `at_least`) are recomputed in full precision. The blocks' short lists are merged by class.
 A cell that the sample shows to hold more than BLOCK classes is dealt into groups, and every pair of groups is a block
-of its own, so a third of all rows near one point neither gathers in one task nor loses a pair. Tables of more rows than
-MAX_CELLS cells of the wanted size get larger blocks, which their tasks cut into cells by centroids of their own; a crowd
-in such a block is one cell again, whatever its size, and searched whole.
+of its own, so a third of all rows near one point neither gathers in one task nor loses a pair. All pairs that share a cell
+are compared, whatever the size of the table or the cell: more rows than MAX_CELLS cells of the wanted size make larger
+cells, which lose less and cost more. How a cell is dealt decides about tasks and copies only, not about results.
 
 The only loss is of neighbours that share none of these cells (the README has the recall measured).
 
@@ -41,7 +41,8 @@ MAX_CELLS = 8_192
 BLOCK = 4_096  # classes in a block
 TIGHT = 0.9  # centroids at least so alike are one cell
 MERGED = 65_536
-LARGE_BLOCK = 65_536  # the same where MAX_CELLS cells can't be as small as wanted: blocks then have cells of their own
+LARGE_BLOCK = 65_536  # the most classes in a block of two groups
+COPIES = 16  # groups of a cell, and so copies of a class, before its groups grow beyond BLOCK
 TILE = 512 * 8_192
 MICRO = 1_000_000
 
@@ -218,7 +219,8 @@ def block_best(ids: np.ndarray, code, rest, group: np.ndarray, k: int, at_least:
 
 
 def cut_block_best(ids: np.ndarray, code, rest, group: np.ndarray, k: int, at_least: float | None, cell_rows: int, probes: int):
-    """block_best of a large block through its own cells: the same rule again, so the work stays in proportion.
+    """block_best of a large block through its own cells: the same rule again, so the work stays in proportion, but pairs are
+    lost that block_best finds. For callers that choose it; no query does, at any size.
 
     Cells of a crowd are one here too, with no bound but the block: none of the pairs that came together here is lost."""
     if len(ids) <= 4 * cell_rows:
@@ -284,7 +286,7 @@ def fitted(vectors: DataFrame, dim: int, rows: int, cells: int) -> tuple[np.ndar
 def class_neighbours(vectors: DataFrame, dim: int, rows: int, k: int, at_least: float | None, cell_rows: int, probes: int, max_cells: int = MAX_CELLS) -> DataFrame:
     """a, near array<struct<far, b>>: of each class (its smallest id) the k best other classes, best first; far = -micro."""
     c, mass, sample = fitted(vectors, dim, rows, max(1, min(max_cells, round(rows / cell_rows))))
-    root = tight(c, mass)
+    root = tight(c, mass, np.inf)  # a crowd is one cell, whatever its size
 
     def cells_of(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, cell = nearest_cells(unit, c, probes)
@@ -296,8 +298,7 @@ def class_neighbours(vectors: DataFrame, dim: int, rows: int, k: int, at_least:
     _, one = np.unique(sample.astype(np.float32), axis=0, return_index=True)
     expect = np.bincount(cells_of(sample[one])[1], minlength=len(c)) * (max(rows, len(sample)) / len(sample))
     expect = np.maximum(expect, np.bincount(root, mass, len(c)))
-    large = rows > max_cells * cell_rows
-    groups = np.maximum(1, np.ceil(expect / (LARGE_BLOCK if large else BLOCK))).astype(np.int64)
+    groups = np.maximum(1, np.ceil(expect / np.clip(expect / COPIES, BLOCK, max(BLOCK, LARGE_BLOCK // 2)))).astype(np.int64)
     # block numbers: cell, then group i <= group j
     base = np.concatenate([[0], np.cumsum(groups * groups)])
 
@@ -337,10 +338,7 @@ def class_neighbours(vectors: DataFrame, dim: int, rows: int, k: int, at_least:
         code = np.ascontiguousarray(raw[one, :dim]).view(np.int8)
         rest = np.ascontiguousarray(raw[one, dim:]).view(np.uint16)
         grp = pdf["grp"].to_numpy()[one]
-        if large:
-            a, b, micro = cut_block_best(least, code, rest, grp, k, at_least, cell_rows, probes)
-        else:
-            a, b, micro = block_best(least, code, rest, grp, k, at_least)
+        a, b, micro = block_best(least, code, rest, grp, k, at_least)
         return pd.DataFrame({"a": a, "b": b, "far": -micro})
 
     blocks = vectors.select("id", "v").mapInArrow(place, "part long, id long, grp int, bits binary")

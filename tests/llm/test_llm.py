@@ -322,6 +322,26 @@ def test_crowded_centroids_are_one_cell_up_to_a_bound():
     assert np.bincount(some[:400]).max() <= 100 and len(set(some[:400].tolist())) == 4
 
 
+def test_pairs_of_a_cell_are_found_whatever_the_rows(spark, monkeypatch):
+    """As many cells twice, of more rows than wanted the second time: the same results."""
+    rng = np.random.default_rng(12)
+    df = table_of(spark, range(4000), rng.normal(size=(4000, 16)))
+    wanted, larger = (got_of(neighbours.most_similar(df, 16, 4000, 5, None, cell_rows=n, max_cells=4)) for n in (1000, 50))
+    assert larger == wanted
+    monkeypatch.setattr(neighbours, "BLOCK", 300)
+    for most in (65_536, 800):  # groups of another size
+        monkeypatch.setattr(neighbours, "LARGE_BLOCK", most)
+        assert got_of(neighbours.most_similar(df, 16, 4000, 5, None, cell_rows=50, max_cells=4)) == wanted
+
+
+def test_a_crowd_of_any_size_is_searched_whole(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    v = np.r_[np.ones((900, 16)) + rng.normal(size=(900, 16)) * 0.1, rng.normal(size=(100, 16))]
+    monkeypatch.setattr(neighbours.tight, "__defaults__", (100,))
+    got, want = got_of(neighbours.most_similar(table_of(spark, range(1000), v), 16, 1000, 5, 0.8, cell_rows=20, probes=1)), brute(range(1000), v, 5, 0.8)
+    assert all(got[a] == want[a] for a in range(900))
+
+
 def test_centroids_are_fitted_by_tasks(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(3000, 8))
